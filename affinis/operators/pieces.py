@@ -63,7 +63,8 @@ def with_carried_rows(pieces: DataFrame, key: str, order: Sequence[str], rows: i
     # A piece has at least one row, so at most ``rows`` pieces lie within reach.
     reach = F.collect_list(F.struct(F.col(PIECE).alias("piece"), "_before")).over(along.rowsBetween(1, rows))
     targets = (
-        placed.withColumn("_next", F.explode(reach))
+        placed.withColumn("_reach", reach)
+        .withColumn("_next", F.explode("_reach"))
         .select(
             F.col(key).alias("_key"),
             F.col(PIECE).alias("_from"),

@@ -56,3 +56,9 @@ ITEM_BLOCK_ROWS = 4096
 QUERY_BLOCK_ROWS = 1024
 # Largest tag vocabulary handed to an encoder.
 MAX_VOCABULARY = 1_000_000
+# Item vectors up to this size travel to the tasks whole.
+RESIDENT_BYTES = 128 * 1024 * 1024
+# Queries one task scores against one item block.
+QUERIES_PER_TASK = 100_000
+# Stored length of similar-user lists (ours; readers ask for fewer).
+MAX_SIMILAR_USERS = 1000
