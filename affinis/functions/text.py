@@ -15,20 +15,22 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), F.lit(1))
 
 
-def phrase_prefix_at(words: Column, keyword: str) -> Column:
-    """Position of the first place where ``keyword`` occurs as a phrase whose
-    last token may be the start of a word; null when there is none."""
+def phrase_prefix_at(text: Column, keyword: str) -> Column:
+    """Position of the first token where ``keyword`` occurs as a phrase whose
+    last token may be the start of a word; null when there is none.
+
+    Tokens hold no blanks, so over blank-separated tokens the phrase is a plain
+    substring search that starts at a blank.
+    """
     wanted = tokens(F.lit(keyword))
-    n = F.size(wanted)
-    starts = F.when(
-        (n > 0) & (F.size(words) >= n), F.sequence(F.lit(1), F.size(words) - n + 1)
-    )
-    hits = F.filter(
-        starts,
-        lambda i: (F.slice(words, i, n - 1) == F.slice(wanted, F.lit(1), n - 1))
-        & F.get(words, i + n - 2).startswith(F.get(wanted, n - 1)),
+    needle = F.concat(F.lit(" "), F.array_join(wanted, " "))
+    # Cheap test on the raw text first; most texts stop here.
+    possible = (F.size(wanted) > 0) & F.lower(text).contains(F.get(wanted, F.lit(0)))
+    words = F.when(possible, F.concat(F.lit(" "), F.array_join(tokens(text), " ")))
+    before = F.call_function("substring_index", words, needle, F.lit(1))
+    return F.when(
+        words.contains(needle), F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit(""))) + 1
     )
-    return F.get(hits, F.lit(0))
 
 
 def release_year(title: Column) -> Column:

@@ -683,7 +683,7 @@ def _model_frames(spark, d):
 
 def _scored(pipeline, frames):
     train, test = frames
-    return rankers.predict(pipeline.fit(train), test, ["event_id", "user_id", "item_id", "label"])
+    return rankers.predict(rankers.fit(pipeline, train), test, ["event_id", "user_id", "item_id", "label"])
 
 
 @query
@@ -723,7 +723,7 @@ def two_tower(spark, d):
 def model_metrics(spark, d):
     """Metrics of the concat model, saved and loaded before it predicts."""
     (train, test), *_ = _model_frames(spark, d)
-    path = rankers.save(rankers.neural_cf().fit(train), shared_path(spark, "model"))
+    path = rankers.save(rankers.fit(rankers.neural_cf(), train), shared_path(spark, "model"))
     return rankers.evaluate(rankers.predict(rankers.load(path), test))
 
 
@@ -736,7 +736,7 @@ def shown_predictions(spark, d):
 @query
 def recommend_wide_deep(spark, d):
     (train, _), users, vec, rows = _model_frames(spark, d)
-    model = rankers.wide_and_deep(spark).fit(train)
+    model = rankers.fit(rankers.wide_and_deep(spark), train)
     scorer = rankers.scorer(
         model, features.latest_item_features(rows), features.latest_user_features(rows), users, vec,
         user_buckets=20000, item_buckets=20000,
@@ -750,7 +750,7 @@ def recommend_wide_deep(spark, d):
 @query
 def recommend_neural_cf(spark, d):
     (train, _), users, vec, _ = _model_frames(spark, d)
-    scorer = rankers.id_scorer(rankers.neural_cf().fit(train), users, vec)
+    scorer = rankers.id_scorer(rankers.fit(rankers.neural_cf(), train), users, vec)
     return rec.recommend(
         t.all_users(spark, d), "neuralcf", 0, 20, user_emb=users, item_emb=vec,
         collected=t.interactions(spark, d), documents=t.items(spark, d), scorers={"neuralcf": scorer},
