@@ -135,8 +135,16 @@ def best_rows(q_ids, q_parts, needs, i_ids, i_parts, exclude_self: bool):
     return r, i_ids[cols], score
 
 
-def frame(q_ids, needs, r, item_ids, score):
-    return pd.DataFrame({"query_id": q_ids[r], "item_id": item_ids, "score": score, "need": needs[r]})
+def frame(q_ids, needs, r, item_ids, score, place):
+    return pd.DataFrame({
+        "query_id": q_ids[r], "item_id": item_ids, "score": score, "need": needs[r], "place": place,
+    })
+
+
+def places(r, n_queries: int):
+    """Position of each row among those of its query; rows come sorted by query."""
+    start = np.searchsorted(r, np.arange(n_queries))
+    return (np.arange(len(r)) - start[r] + 1).astype("int32")
 
 
 def merged(q_ids, needs, found):
@@ -147,7 +155,6 @@ def merged(q_ids, needs, found):
     if len(found) > 1:
         order = np.lexsort((ids, -np.nan_to_num(score, nan=-2.0), r))
         r, ids, score = r[order], ids[order], score[order]
-        start = np.searchsorted(r, np.arange(len(q_ids)))
-        ok = np.arange(len(r)) - start[r] < needs[r]
-        r, ids, score = r[ok], ids[ok], score[ok]
-    return frame(q_ids, needs, r, ids, score)
+    place = places(r, len(q_ids))
+    ok = place <= needs[r]
+    return frame(q_ids, needs, r[ok], ids[ok], score[ok], place[ok])

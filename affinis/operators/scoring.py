@@ -27,12 +27,13 @@ from affinis.operators.blocks import (
     frame,
     merged,
     nearest_cell,
+    places,
     query_blocks,
 )
 from affinis.operators.latest import top_rows
 from affinis.session import settled
 
-FOUND = "query_id long, item_id long, score double, need long"
+FOUND = "query_id long, item_id long, score double, need long, place int"
 
 
 def top_k_cosine(
@@ -68,20 +69,24 @@ def top_k_cosine(
         need = need + F.coalesce("_taken", F.lit(0))
     wanted = wanted.select("id", "emb", need.alias("need"))
 
+    order = [F.col("score").desc_nulls_last(), F.col("item_id")]
     if size["numbers"] * 8 <= resident_bytes:
+        # One task sees all items of a query, so its rows are final.
         spread = wanted.repartition(items.sparkSession.sparkContext.defaultParallelism, "id")
         found = spread.mapInPandas(
             _score_resident(layout, _resident_blocks(items, layout), query_block_rows, exclude_self), FOUND
         )
+        if exclude is None:
+            return found.where(F.col("place") <= k).select(
+                "query_id", "item_id", "score", F.col("place").alias("rank")
+            )
     else:
         found = _score_distributed(wanted, items, layout, query_block_rows, exclude_self)
-
-    order = [F.col("score").desc_nulls_last(), F.col("item_id")]
-    if exclude is None:
-        return top_rows(found.drop("need"), "query_id", order, k)
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(*order))
-    enough = found.withColumn("_place", place).where(F.col("_place") <= F.col("need"))
-    left = enough.drop("_place", "need").join(exclude, ["query_id", "item_id"], "left_anti")
+        if exclude is None:
+            return top_rows(found.drop("need", "place"), "query_id", order, k)
+        place = F.row_number().over(W.partitionBy("query_id").orderBy(*order))
+        found = found.withColumn("place", place).where(F.col("place") <= F.col("need"))
+    left = found.drop("place", "need").join(exclude, ["query_id", "item_id"], "left_anti")
     return top_rows(left, "query_id", order, k)
 
 
@@ -181,7 +186,7 @@ def _score_distributed(
                     q_ids, by_length(row.embs), needs,
                     np.asarray(row.item_ids), by_length(row.item_embs), exclude_self,
                 )
-                yield frame(q_ids, needs, r, item_ids, values)
+                yield frame(q_ids, needs, r, item_ids, values, places(r, len(q_ids)))
 
     wanted = settled(wanted)
     repeats = max(1, -(-wanted.count() // settings.QUERIES_PER_TASK))
