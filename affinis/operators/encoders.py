@@ -85,8 +85,9 @@ def with_model_inputs(
     return joined.withColumns({
         "user_vector": vector_or_zeros(F.col("_user_emb"), size),
         "item_vector": vector_or_zeros(F.col("_item_emb"), size),
-        "item_tags": F.array_compact(F.array(*[F.nullif(F.col(c), F.lit("")) for c in ITEM_TAGS])),
-        "user_tags": F.array_compact(F.array(*[F.nullif(F.col(c), F.lit("")) for c in USER_TAGS])),
+        # A missing tag is a word of its own, so no list is ever without words.
+        "item_tags": F.array(*ITEM_TAGS),
+        "user_tags": F.array(*USER_TAGS),
         "user_bucket": in_buckets(F.col("user_id"), user_buckets),
         "item_bucket": in_buckets(F.col("item_id"), item_buckets),
         "cross_bucket": cross_bucket().cast("double"),
