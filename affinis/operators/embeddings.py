@@ -12,7 +12,6 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vector
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from affinis import settings
@@ -97,28 +96,22 @@ def user_vectors(
 
     The denominator counts every interaction, also those of items that have no
     vector; users left without any vector at all are dropped. Repeats of an
-    item are added up before the join, and vectors are summed map-side.
+    item are added up before the join. Each vector position is one plain sum,
+    which stays in generated code and is combined before the shuffle.
 
     ``weight`` is an expression over an interaction; by default each counts 1.
     """
     w = F.lit(1.0) if weight is None else weight
     pairs = interactions.groupBy(user, item).agg(F.sum(w).alias("_w"))
     known = embeddings.select(F.col("id").alias(item), F.col("emb").alias("_emb"))
-    width = embeddings.agg(F.coalesce(F.max(F.size("emb")), F.lit(0))).scalar()
-    zeros = F.array_repeat(F.lit(0.0), width)
-    joined = pairs.join(known, item, "left").select(
-        user, "_w", F.col("_emb").isNotNull().alias("_known"), array_to_vector(F.coalesce("_emb", zeros)).alias("_v")
-    )
-    sums = joined.groupBy(user).agg(
+    width = embeddings.agg(F.coalesce(F.max(F.size("emb")), F.lit(0))).first()[0]
+    sums = pairs.join(known, item, "left").groupBy(user).agg(
         F.sum("_w").alias("_total"),
-        F.max("_known").alias("_any"),
-        Summarizer.sum(F.col("_v"), F.col("_w")).alias("_sum"),
-    )
-    total = F.col("_total")
-    return sums.where("_any").select(
-        F.col(user).alias("id"),
-        F.transform(vector_to_array("_sum"), lambda x: F.try_divide(x, total)).alias("emb"),
+        F.max(F.col("_emb").isNotNull()).alias("_any"),
+        *[F.sum(F.get("_emb", F.lit(i)) * F.col("_w")).alias(f"_sum_{i}") for i in range(width)],
     )
+    mean = [F.try_divide(F.coalesce(f"_sum_{i}", F.lit(0.0)), F.col("_total")) for i in range(width)]
+    return sums.where("_any").select(F.col(user).alias("id"), F.array(*mean).alias("emb"))
 
 
 def recency_weight(as_of, ts: str = "ts", rating: str = "rating", half_life_days: float = 90.0):

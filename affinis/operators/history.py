@@ -132,6 +132,7 @@ def add_user_features(
     shown: int = settings.HISTORY_SHOWN,
     hot_rows: int = settings.HOT_KEY_ROWS,
     piece_rows: int = settings.CHUNK_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """History and running figures of each sample, for users past their first.
 
@@ -139,7 +140,7 @@ def add_user_features(
     time and tie-break, and that order also serves the windows over time alone.
     """
     ts = order[0]
-    cold, hot = pieces.split_hot(samples, user, hot_rows)
+    cold, hot = pieces.split_hot(samples, user, hot_rows, counted)
 
     def recent(df: DataFrame, partition: list[str]) -> DataFrame:
         return _last_positives(df, partition, item, order, rows, shown)

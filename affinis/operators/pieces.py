@@ -22,14 +22,16 @@ CARRIED = "_carried"
 
 
 def split_hot(
-    df: DataFrame, key: str, hot_rows: int = settings.HOT_KEY_ROWS
+    df: DataFrame, key: str, hot_rows: int = settings.HOT_KEY_ROWS, counted: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame | None]:
     """Rows of ordinary keys, and rows of keys with more than ``hot_rows`` rows.
 
     There can be at most ``rows / hot_rows`` such keys, so their list is small
-    enough to broadcast by construction.
+    enough to broadcast by construction. ``counted`` may name a cheaper frame to
+    count in: one that holds at least the rows of ``df``.
     """
-    hot = df.groupBy(F.col(key).alias("_hot")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    source = df if counted is None else counted
+    hot = source.groupBy(F.col(key).alias("_hot")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
     if hot.isEmpty():
         return df, None
     keys = F.broadcast(settled(hot.select("_hot")))

@@ -25,7 +25,7 @@ def training_samples(interactions: DataFrame, items: DataFrame, order: Sequence[
     """Labelled samples of known items with item features and the user's running features."""
     labelled = sample_ops.add_label(interactions)
     with_items = features.add_item_features(labelled, items)
-    return history.add_user_features(with_items, order=order, **sizes)
+    return history.add_user_features(with_items, order=order, counted=interactions, **sizes)
 
 
 def feature_tables(
