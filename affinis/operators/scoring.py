@@ -62,8 +62,10 @@ def top_k_cosine(
     need = F.lit(k + (1 if exclude_self else 0)).cast("long")
     wanted = queries.where(F.col("emb").isNotNull()).select("id", "emb")
     if exclude is not None:
-        # A query fetches as many more rows as may be taken away again.
-        exclude = exclude.select("query_id", "item_id").distinct()
+        # A query fetches as many more rows as may be taken away again. With the
+        # null filter written out, both uses of the pairs share one shuffle.
+        pairs = exclude.select("query_id", "item_id")
+        exclude = pairs.where(F.col("query_id").isNotNull() & F.col("item_id").isNotNull()).distinct()
         taken = exclude.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("_taken"))
         wanted = wanted.join(taken, "id", "left")
         need = need + F.coalesce("_taken", F.lit(0))
@@ -72,7 +74,7 @@ def top_k_cosine(
     order = [F.col("score").desc_nulls_last(), F.col("item_id")]
     if size["numbers"] * 8 <= resident_bytes:
         # One task sees all items of a query, so its rows are final.
-        spread = wanted.repartition(items.sparkSession.sparkContext.defaultParallelism, "id")
+        spread = wanted.repartition(items.sparkSession.sparkContext.defaultParallelism)
         found = spread.mapInPandas(
             _score_resident(layout, _resident_blocks(items, layout), query_block_rows, exclude_self), FOUND
         )

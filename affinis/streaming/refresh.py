@@ -73,14 +73,15 @@ def keep_refreshed(
     """Recompute something for the users each batch touches.
 
     The batch is stored first and everything after reads the stored rows, so
-    the stream's state is advanced once. ``recompute`` gets all interactions so
-    far and the touched users.
+    the stream's state is advanced once. ``recompute`` gets the touched users
+    and all their interactions so far; with a table split by user only the
+    buckets of these users are read.
     """
 
     def on_batch(rows: DataFrame, batch_id: int) -> None:
         interactions.write(rows, batch_id)
         touched = interactions.batch(batch_id).select("user_id").distinct()
-        results.write(recompute(interactions.upto(batch_id).drop("batch_id"), touched), batch_id)
+        results.write(recompute(interactions.of_keys(touched, batch_id), touched), batch_id)
 
     return (
         stream.writeStream.outputMode("append")

@@ -42,7 +42,7 @@ def test_running_features_equal_batch_and_ignore_replays(spark, folder, tmp_path
 def test_touched_users_are_recomputed(spark, folder, tmp_path):
     src = str(tmp_path / "in")
     events = write_files(spark, folder, src)
-    kept = RevisionTable(spark, str(tmp_path / "kept"), refresh.INTERACTIONS)
+    kept = RevisionTable(spark, str(tmp_path / "kept"), refresh.INTERACTIONS, key="user_id", buckets=4)
     schema = ("user_id long, " + ", ".join(f"user_rated_item_{i} long" for i in range(1, 6))
               + ", user_rating_count long, user_avg_rating double, user_rating_stddev double")
     results = RevisionTable(spark, str(tmp_path / "res"), schema)
@@ -57,6 +57,9 @@ def test_touched_users_are_recomputed(spark, folder, tmp_path):
 
     assert rounded(results.latest("user_id")) == rounded(want)
     assert kept.all().count() == events.count()
+    one = events.where("user_id = 1").select("user_id")
+    own = kept.of_keys(one, 10**6)
+    assert own.count() == one.count()
 
 
 def test_rows_beyond_the_delay_are_dropped(spark, tmp_path):

@@ -123,6 +123,9 @@ PARTS["eligible"] = """
     FROM recall_300 c JOIN item_features f USING (item_id) JOIN user_features u USING (user_id)
     WHERE c.item_id < 323877"""
 
+PARTS["vocabulary"] = """
+    SELECT name, row_number() OVER (ORDER BY name) - 1 AS i FROM tag_dict WHERE "count" > 1"""
+
 
 def _needs(sql: str) -> list[str]:
     """The parts a statement uses, in the order they are defined."""
@@ -329,6 +332,11 @@ SQL: dict[str, str] = {
     "tag_vocabulary": 'SELECT name FROM tag_dict WHERE "count" > 1',
     "item_id_text": "SELECT CAST(id AS VARCHAR) AS id FROM items",
     "catalogue": "SELECT id AS item_id FROM items",
+    "tag_one_hot": """
+        SELECT event_id, coalesce(a.i, -1) AS item_tag_1_at, coalesce(b.i, -1) AS item_tag_2_at,
+               coalesce(c.i, -1) AS item_tag_3_at
+        FROM training LEFT JOIN vocabulary a ON item_tag_1 = a.name LEFT JOIN vocabulary b ON item_tag_2 = b.name
+        LEFT JOIN vocabulary c ON item_tag_3 = c.name""",
     "stream_user_features": """
         SELECT user_id, count(*) AS user_rating_count, round(avg(rating), 6) AS user_avg_rating,
                round(coalesce(stddev_samp(rating), 0), 6) AS user_rating_stddev, epoch_us(max(ts)) AS last_us

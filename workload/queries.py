@@ -661,9 +661,14 @@ def cross_feature(spark, d):
 
 @query
 def tag_one_hot(spark, d):
+    """The place of the one in each encoded tag, -1 for unknown tags."""
+    from pyspark.ml.functions import vector_to_array
+
     rows = training(spark, d).select("event_id", *ITEM_TAGS)
     model = encoders.tag_encoder(collections.tag_vocabulary(t.tag_dict(spark, d)), ITEM_TAGS)
-    return model.transform(rows).select("event_id", *[F.col(f"{c}_hot").cast("string").alias(c) for c in ITEM_TAGS])
+    return model.transform(rows).select("event_id", *[
+        (F.array_position(vector_to_array(f"{c}_hot"), 1.0) - 1).alias(f"{c}_at") for c in ITEM_TAGS
+    ])
 
 
 def _model_frames(spark, d):
@@ -778,7 +783,7 @@ def stream_user_features(spark, d):
 
 def _refreshed(spark, d, schema, recompute):
     path = shared_path(spark, "stream")
-    kept = RevisionTable(spark, f"{path}/interactions", refresh.INTERACTIONS)
+    kept = RevisionTable(spark, f"{path}/interactions", refresh.INTERACTIONS, key="user_id", buckets=8)
     results = RevisionTable(spark, f"{path}/results", schema)
     refresh.keep_refreshed(_stream(spark, d), kept, results, recompute, f"{path}/checkpoint").awaitTermination()
     return results.latest_lists("user_id")
@@ -797,7 +802,7 @@ def stream_refresh(spark, d):
     item_emb, documents = t.item_emb(spark, d), t.items(spark, d)
 
     def recompute(every, touched):
-        own = settled(every.join(touched, "user_id", "left_semi"))
+        own = settled(every)
         return rec.recommend_lists(
             touched, "none", user_emb=embeddings.user_vectors(own, item_emb), item_emb=item_emb,
             collected=own, documents=documents,
