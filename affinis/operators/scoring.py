@@ -45,15 +45,19 @@ def top_k_cosine(
     item_block_rows: int = settings.ITEM_BLOCK_ROWS,
     query_block_rows: int = settings.QUERY_BLOCK_ROWS,
     resident_bytes: int = settings.RESIDENT_BYTES,
+    stored: bool = False,
 ) -> DataFrame:
     """``query_id, item_id, score, rank`` of the ``k`` most similar items.
 
     ``queries`` and ``items`` have ``id, emb``; ids are unique and rows without
     a vector take no part. ``exclude`` holds ``query_id, item_id`` pairs that
     must not appear. Scores have six decimals, equal scores rank by id, a
-    vector without a direction ranks last with a null score.
+    vector without a direction ranks last with a null score. Items are read
+    several times and stored first, unless ``stored`` says they already are.
     """
-    items = settled(items.where(F.col("emb").isNotNull()).select("id", "emb"))
+    items = items.where(F.col("emb").isNotNull()).select("id", "emb")
+    if not stored:
+        items = settled(items)
     size = items.agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("emb")), F.lit(0)).alias("numbers")
     ).first()

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from affinis import settings
 from affinis.operators import lists, search
 from affinis.operators.scoring import top_k_cosine
+from affinis.session import settled
 
 # A scorer takes ranked candidates ``user_id, item_id, rank, score`` and returns
 # those it can score with a new ``score``; null keeps the recall order.
@@ -50,6 +51,8 @@ def rank(candidates: DataFrame, model: str, scorers: Mapping[str, Scorer] | None
     scorer = (scorers or {}).get(model)
     if scorer is None:
         return candidates
+    # The scorer and the join below must see the same rows, made once.
+    candidates = settled(candidates)
     scored = scorer(candidates).select("user_id", "item_id", F.col("score").alias("_score"))
     both = candidates.join(scored, ["user_id", "item_id"], "left")
     answered = F.max(F.col("_score").isNotNull()).over(W.partitionBy("user_id"))
@@ -145,6 +148,7 @@ def recommend_lists(
 
     Stored lists of the same model that are still fresh are served as they are.
     Users without a vector get the popularity list, the others recall and rank.
+    Vectors are used more than once: pass them from storage.
     """
     asked = _Asked(users, model, user_emb, stored, as_of)
     own = _own_lists(asked, model, item_emb, collected, scorers, catalogue, recall_size, max_size)
@@ -193,8 +197,9 @@ def similar_users(user_emb: DataFrame, keys: DataFrame | None = None, k: int = s
 
 
 def _similar(emb: DataFrame, keys: DataFrame | None, k: int, **sizes) -> DataFrame:
+    emb = settled(emb.select("id", "emb"))
     asked = emb if keys is None else emb.join(keys.select("id").distinct(), "id", "left_semi")
-    found = top_k_cosine(asked, emb, k, exclude_self=True, **sizes)
+    found = top_k_cosine(asked, emb, k, exclude_self=True, stored=True, **sizes)
     return found.select(F.col("query_id").alias("id"), F.col("item_id").alias("similar_id"), "score", "rank")
 
 
