@@ -100,3 +100,29 @@ def mixing(docs: str) -> str:
     SELECT r.doc_id, r.size, r.source_size, r.target, CAST(r.size * (r.whole + CASE WHEN
         {last}.edge IS NOT NULL AND (r.row_no < {last}.edge OR {picked}) THEN 1 ELSE 0 END) AS BIGINT) AS taken
     FROM ranked r LEFT JOIN {last} ON r.source IS NOT DISTINCT FROM {last}.source"""
+
+
+def line_parts(docs: str) -> str:
+    """One row per line: row number of its document, place, text, key, and whether it goes."""
+    return f"""
+    SELECT *, length(key) >= 10 AND owner IS DISTINCT FROM doc_id AS gone FROM (
+        SELECT *, min(doc_id) OVER (PARTITION BY key) AS owner FROM (
+            SELECT * EXCLUDE (parts), unnest(parts) AS line, generate_subscripts(parts, 1) AS place,
+                translate(trim(unnest(parts), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+            FROM (SELECT *, row_number() OVER () AS row_no, string_split(coalesce(text, ''), chr(10)) AS parts FROM {docs})))"""
+
+
+def line_dedup(docs: str) -> str:
+    return f"""
+    SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+        sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+    FROM ({line_parts(docs)}) GROUP BY row_no"""
+
+
+def line_dedup_kept(docs: str) -> str:
+    return f"""
+    SELECT any_value(doc_id) AS doc_id, CASE WHEN any_value(text) IS NOT NULL THEN
+            coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '') END AS text,
+        any_value(lang) AS lang, any_value(source) AS source, any_value(n_chars) AS n_chars
+    FROM ({line_parts(docs)}) GROUP BY row_no"""
