@@ -126,3 +126,37 @@ def line_dedup_kept(docs: str) -> str:
             coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '') END AS text,
         any_value(lang) AS lang, any_value(source) AS source, any_value(n_chars) AS n_chars
     FROM ({line_parts(docs)}) GROUP BY row_no"""
+
+
+_ALNUM = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10FFFF}]+')"
+
+
+def _hits(docs: str) -> str:
+    """CTEs: words of documents and every hit of an item's window."""
+    return f"""
+    item_words AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ALNUM} AS w FROM benchmark),
+    windows AS (SELECT DISTINCT item, least(len(w), 10) AS size,
+            array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS gram
+        FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item_words WHERE len(w) > 0)),
+    doc_words AS (SELECT *, row_number() OVER () AS row_no, {_ALNUM} AS w FROM {docs}),
+    grams AS (SELECT row_no, size, i, array_to_string(w[i:i + size - 1], ' ') AS gram
+        FROM (SELECT row_no, w, size, unnest(range(1, len(w) - size + 2)) AS i
+            FROM doc_words, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size)),
+    hits AS (SELECT row_no, i, grams.size, item FROM grams JOIN windows USING (gram, size))"""
+
+
+def decontamination(docs: str) -> str:
+    return f"""
+    WITH {_hits(docs)},
+    places AS (SELECT row_no, count(DISTINCT p) AS n FROM (SELECT row_no, unnest(range(i, i + size)) AS p FROM hits) GROUP BY row_no),
+    found AS (SELECT row_no, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+        FROM (SELECT DISTINCT row_no, item FROM hits WHERE item IS NOT NULL) GROUP BY row_no)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(places.n, 0) AS n_hit, coalesce(found.n, 0) AS n_items,
+        sha256(coalesce(items, '')) AS items_sha256, coalesce(places.n, 0) > 0 AS contaminated
+    FROM doc_words LEFT JOIN places USING (row_no) LEFT JOIN found USING (row_no)"""
+
+
+def decontamination_kept(docs: str) -> str:
+    return f"""
+    WITH {_hits(docs)}
+    SELECT doc_id, text, lang, source, n_chars FROM doc_words WHERE row_no NOT IN (SELECT row_no FROM hits)"""
