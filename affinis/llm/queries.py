@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from affinis.llm import decontamination, lines, mixing, quality, sql, tokens
+from affinis.llm import archives, decontamination, lines, mixing, quality, sql, tokens
+from affinis.llm.store import fresh
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +44,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > tokens.LIMIT)
 
 
+def op8_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arc, warc = fresh(spark, "arc"), fresh(spark, "warc")
+    archives.write_arc(_table(spark, sf_dir, "pages"), arc)
+    archives.to_warc(archives.read_arc(spark, arc), warc)
+    return archives.read_warc(spark, warc).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = lines.line_counts(_table(spark, sf_dir, "documents"))
     return counted.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -56,6 +64,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontamination": sql.decontamination("documents"),
         "op3_mixing": sql.mixing("documents"),
+        "op8_archives": sql.archives(),
         "op10_line_dedup": sql.line_dedup("documents"),
         "op4_quality_rules": sql.quality("documents"),
     }

@@ -160,3 +160,11 @@ def decontamination_kept(docs: str) -> str:
     return f"""
     WITH {_hits(docs)}
     SELECT doc_id, text, lang, source, n_chars FROM doc_words WHERE row_no NOT IN (SELECT row_no FROM hits)"""
+
+
+def archives() -> str:
+    return """
+    WITH sized AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+    topped AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS top FROM sized)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN top <> page_id THEN top END AS refers_to FROM topped"""
