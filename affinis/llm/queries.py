@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from affinis.llm import archives, decontamination, lines, mixing, quality, sql, tokens
+from affinis.llm import archives, decontamination, lines, mixing, quality, rendering, sql, tokens
 from affinis.llm.store import fresh
 
 
@@ -51,6 +51,10 @@ def op8_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.read_warc(spark, warc).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_html_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rendering.extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = lines.line_counts(_table(spark, sf_dir, "documents"))
     return counted.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
