@@ -97,6 +97,9 @@ def score(docs: DataFrame, text_col: str = "text", out: str = "counts") -> DataF
         "n_bullets": F.size(F.filter(lines, lambda x: x.rlike(r"^\s*[-*•]"))),
     }
     struct = F.struct(*(v.cast("long").alias(k) for k, v in counts.items()))
+    # Always true, but not deterministic: keeps a filter on the counts above this projection. Pushed below, each
+    # use of a count would be replaced by its whole expression.
+    struct = F.when(F.monotonically_increasing_id() >= 0, struct)
     return step.withColumn(out, struct).drop(*names.values())
 
 

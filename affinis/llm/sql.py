@@ -12,24 +12,25 @@ def quality_counts(docs: str) -> str:
     """doc_id, text and the counts of the quality rules."""
     stop = ", ".join(f"'{w}'" for w in _quality.STOP_WORDS)
     return f"""
-    SELECT *, CAST(len(words) AS BIGINT) AS n_words,
+    WITH split AS MATERIALIZED (SELECT *, row_number() OVER () AS q_row, coalesce(text, '') AS t,
+            regexp_extract_all(coalesce(text, ''), '{WORD}+') AS words,
+            list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines
+        FROM {docs}),
+    single AS (SELECT q_row, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM split),
+    grams AS (SELECT q_row, i, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o AS g FROM single
+        WINDOW o AS (PARTITION BY q_row ORDER BY i)),
+    again AS (SELECT q_row, i FROM (SELECT *, count(*) OVER (PARTITION BY q_row, g) AS n FROM grams WHERE g IS NOT NULL) WHERE n > 1),
+    covered AS (SELECT q_row, count(DISTINCT p) AS n FROM (SELECT q_row, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY q_row)
+    SELECT split.*, CAST(len(words) AS BIGINT) AS n_words,
         CAST(coalesce(length(array_to_string(words, '')), 0) AS BIGINT) AS word_chars,
         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
-        CAST(len(list_filter(range(len(words)), lambda i:
-            coalesce(seen[grams[i + 1]], 0) > 1 OR (i > 0 AND coalesce(seen[grams[i]], 0) > 1)
-            OR (i > 1 AND coalesce(seen[grams[i - 1]], 0) > 1))) AS BIGINT) AS n_repeat_words,
+        CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words,
         CAST(len(lines) AS BIGINT) AS n_lines,
         CAST(len(list_intersect(words, [{stop}])) AS BIGINT) AS n_stop,
         CAST(len(list_filter(lines, lambda x: regexp_matches(x, '(\\.\\.\\.|…)\\s*$'))) AS BIGINT) AS n_ellipsis,
         CAST(len(list_filter(lines, lambda x: regexp_matches(x, '^\\s*[-*•]'))) AS BIGINT) AS n_bullets
-    FROM (SELECT *, CASE WHEN len(words) > 2 THEN list_transform(range(len(words) - 2), lambda i:
-            [words[i + 1], words[i + 2], words[i + 3]]) ELSE [] END AS grams,
-            CASE WHEN len(words) > 2 THEN list_histogram(list_transform(range(len(words) - 2), lambda i:
-            [words[i + 1], words[i + 2], words[i + 3]])) END AS seen
-        FROM (SELECT *, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}+') AS words,
-                list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines
-            FROM {docs}))"""
+    FROM split LEFT JOIN covered USING (q_row)"""
 
 
 def _base() -> str:
@@ -124,7 +125,8 @@ def line_dedup_kept(docs: str) -> str:
     return f"""
     SELECT any_value(doc_id) AS doc_id, CASE WHEN any_value(text) IS NOT NULL THEN
             coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '') END AS text,
-        any_value(lang) AS lang, any_value(source) AS source, any_value(n_chars) AS n_chars
+        any_value(lang) AS lang, any_value(source) AS source,
+        CAST(length(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS BIGINT) AS n_chars
     FROM ({line_parts(docs)}) GROUP BY row_no"""
 
 
@@ -168,3 +170,33 @@ def archives() -> str:
     topped AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS top FROM sized)
     SELECT page_id, payload_bytes, payload_digest, CASE WHEN top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
         CASE WHEN top <> page_id THEN top END AS refers_to FROM topped"""
+
+
+def near_duplicates_kept(docs: str) -> str:
+    """All pairs of classes that share a shingle, their similarity, and groups by reachability."""
+    return f"""
+    WITH RECURSIVE worded AS MATERIALIZED (SELECT *, row_number() OVER () AS row_no, regexp_extract_all(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}+') AS w FROM {docs}),
+    keyed AS (SELECT *, array_to_string(w, ' ') AS k FROM worded WHERE len(w) > 0),
+    classes AS MATERIALIZED (SELECT k, any_value(w) AS w, min(row_no) AS c FROM keyed GROUP BY k),
+    single AS (SELECT c, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM classes),
+    shingles AS MATERIALIZED (SELECT DISTINCT c, g FROM (SELECT c, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' '
+            || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS g FROM single WINDOW o AS (PARTITION BY c ORDER BY i)) WHERE g IS NOT NULL
+        UNION SELECT c, k FROM classes WHERE len(w) < 5),
+    sizes AS MATERIALIZED (SELECT c, count(*) AS n FROM shingles GROUP BY c),
+    common AS (SELECT a.c AS u, b.c AS v, count(*) AS n FROM shingles a JOIN shingles b USING (g) WHERE a.c <> b.c GROUP BY ALL),
+    links AS MATERIALIZED (SELECT u, v FROM common JOIN sizes x ON x.c = u JOIN sizes y ON y.c = v
+        WHERE 10 * common.n >= 8 * (x.n + y.n - common.n)),
+    reach AS (SELECT c AS u, c AS v FROM classes UNION SELECT reach.u, links.v FROM reach JOIN links ON reach.v = links.u),
+    grouped AS (SELECT u, min(v) AS grp FROM reach GROUP BY u),
+    ranked AS (SELECT keyed.*, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS LAST, row_no) AS place
+        FROM keyed JOIN classes USING (k) JOIN grouped ON u = c)
+    SELECT doc_id, text, lang, source, n_chars FROM ranked WHERE place = 1
+    UNION ALL SELECT doc_id, text, lang, source, n_chars FROM worded WHERE len(w) = 0"""
+
+
+def pipeline(docs: str) -> str:
+    return f"""
+    WITH passed AS MATERIALIZED ({quality_kept(docs)}), lined AS MATERIALIZED ({line_dedup_kept("passed")}),
+    distinct_docs AS MATERIALIZED ({near_duplicates_kept("lined")}), clean_docs AS MATERIALIZED ({decontamination_kept("distinct_docs")})
+    SELECT * FROM ({mixing("clean_docs")})"""
