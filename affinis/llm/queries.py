@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from affinis.llm import archives, decontamination, jaccard, lines, mixing, quality, rendering, sql, tokens
+from affinis.llm import archives, decontamination, jaccard, lines, mixing, quality, rendering, sql, suffix_tree, tokens
 from affinis.llm.store import fresh
 
 
@@ -20,6 +20,14 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = suffix_tree.held_out(F.col("doc_id"))
+    model, counts = suffix_tree.learn(docs.where(~out))
+    scored = suffix_tree.score(docs, model, counts)
+    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"] + 1)
