@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from affinis.llm import archives, decontamination, jaccard, lines, mixing, quality, rendering, sql, suffix_tree, tokens
+from affinis.llm import archives, decontamination, jaccard, lines, mixing, quality, rendering, sql, substrings, suffix_tree, tokens
 from affinis.llm.store import fresh
 
 
@@ -51,6 +51,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokens.count_tokens(_table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > tokens.LIMIT)
@@ -80,6 +84,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontamination": sql.decontamination("documents"),
         "op3_mixing": sql.mixing("documents"),
+        "op6_substring_dedup": sql.substring_dedup("documents"),
         "op8_archives": sql.archives(),
         "op10_line_dedup": sql.line_dedup("documents"),
         "op4_quality_rules": sql.quality("documents"),

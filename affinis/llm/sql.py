@@ -200,3 +200,17 @@ def pipeline(docs: str) -> str:
     WITH passed AS MATERIALIZED ({quality_kept(docs)}), lined AS MATERIALIZED ({line_dedup_kept("passed")}),
     distinct_docs AS MATERIALIZED ({near_duplicates_kept("lined")}), clean_docs AS MATERIALIZED ({decontamination_kept("distinct_docs")})
     SELECT * FROM ({mixing("clean_docs")})"""
+
+
+def substring_dedup(docs: str) -> str:
+    """All windows of all documents, grouped by their words."""
+    return f"""
+    WITH split AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS row_no, regexp_extract_all(coalesce(text, ''), '{WORD}+') AS words FROM {docs}),
+    single AS MATERIALIZED (SELECT row_no, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM split),
+    windows AS (SELECT row_no, i, md5(string_agg(w, ' ') OVER o) AS g, count(*) OVER o AS n FROM single
+        WINDOW o AS (PARTITION BY row_no ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+    twice AS MATERIALIZED (SELECT row_no, i FROM (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM windows WHERE n = 35) WHERE c > 1),
+    gone AS (SELECT DISTINCT row_no, unnest(range(i, i + 35)) AS i FROM twice),
+    kept AS (SELECT row_no, string_agg(w, ' ' ORDER BY i) AS t, count(*) AS n FROM single ANTI JOIN gone USING (row_no, i) GROUP BY row_no)
+    SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(kept.n, 0) AS BIGINT) AS n_removed,
+        sha256(coalesce(t, '')) AS kept_sha256 FROM split LEFT JOIN kept USING (row_no)"""
