@@ -8,12 +8,15 @@ sys.path[:0] = [os.path.dirname(HERE), HERE]
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from affinis import session
 
+    shared = tmp_path_factory.mktemp("spark")
+
     s = session.build(
         "local[4]", "tests", spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
         spark__sql__shuffle__partitions="4", spark__driver__memory="4g",
+        spark__checkpoint__dir=str(shared / "shared"), spark__sql__warehouse__dir=str(shared / "warehouse"),
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
