@@ -26,12 +26,17 @@ def item_sequences(
     length: int = settings.SEQUENCE_ROWS,
     hot_rows: int = settings.HOT_KEY_ROWS,
     piece_rows: int = settings.CHUNK_ROWS,
+    min_count: int = 1,
 ) -> DataFrame:
     """Each user's items, newest first, in segments of at most ``length``.
 
-    Training cuts a longer sequence at the same length, so segments give the
-    training the same sentences without ever holding a whole user in one row.
+    Training drops items of fewer than its minimum count and then cuts a longer
+    sequence at the same length. With that ``min_count`` given here, segments
+    give the training the same sentences without a whole user in one row.
     """
+    if min_count > 1:
+        often = interactions.groupBy(item).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_count).select(item)
+        interactions = interactions.join(often, item, "left_semi")
     back = [f"_back_{i}" for i in range(len(order))]
     keyed = interactions.select(user, item, *[_descending(interactions, c).alias(b) for c, b in zip(order, back)])
     numbered = pieces.row_numbers(keyed, user, back, "_at", hot_rows, piece_rows)
@@ -57,15 +62,17 @@ def train_item2vec(
     window: int = settings.EMBEDDING_WINDOW,
     iterations: int = settings.EMBEDDING_ITERATIONS,
     min_count: int = 5,
-    partitions: int = 1,
+    partitions: int | None = None,
     seed: int = 42,
     column: str = "items",
 ) -> Word2VecModel:
     """Skip-gram vectors of items from their neighbours in user sequences.
 
     ``partitions`` trains that many shards side by side and averages them each
-    iteration; the vocabulary is the catalogue, not the interactions.
+    iteration; by default it follows the number of sequences. The vocabulary is
+    the catalogue, not the interactions.
     """
+    partitions = partitions or shards(sequences.count())
     return Word2Vec(
         vectorSize=size,
         windowSize=window,
@@ -79,6 +86,11 @@ def train_item2vec(
     ).fit(sequences)
 
 
+def shards(sentences: int) -> int:
+    """Shards to train in: one per so many sentences."""
+    return max(1, -(-sentences // settings.SENTENCES_PER_SHARD))
+
+
 def item_vectors(model: Word2VecModel) -> DataFrame:
     return model.getVectors().select(
         F.col("word").cast("long").alias("id"), vector_to_array("vector").alias("emb")

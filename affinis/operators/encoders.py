@@ -53,8 +53,10 @@ def bucket_encoder(spark: SparkSession, columns: dict[str, int]) -> PipelineMode
 
 
 def in_buckets(column, buckets: int):
-    """An id as category; ids outside the range share one that encodes to zeros."""
-    return F.when((column >= 0) & (column < buckets), column).otherwise(buckets).cast("double")
+    """An id as category. Ids beyond the range share the categories by hash, so
+    that none is lost; only a null id encodes to zeros."""
+    inside = F.when((column >= 0) & (column < buckets), column)
+    return F.coalesce(inside, F.when(column.isNotNull(), F.pmod(F.xxhash64(column), F.lit(buckets))), F.lit(buckets)).cast("double")
 
 
 def numeric_vector(output: str = "numbers") -> VectorAssembler:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from affinis import settings
 from affinis.functions import arrays
 from affinis.operators import pieces
+from affinis.session import settled
 
 TIE_BREAK = ("ts", "event_id")
 
@@ -82,22 +83,29 @@ def _running_stats(df: DataFrame, partition: list[str], ts: str, rating: str) ->
 
 
 def _running_stats_of_hot(hot: DataFrame, user: str, ts: str, rating: str, piece_rows: int) -> DataFrame:
-    """The same figures from running sums over one row per user and time."""
-    r = F.col(rating).cast("long")
-    per_time = hot.groupBy(user, ts).agg(
+    """The same figures from running sums over one row per user and time.
+
+    Ratings are taken relative to the user's mean, so that sums of squares stay
+    small; there is one mean per hot user, of whom there are few by definition.
+    """
+    means = settled(hot.groupBy(F.col(user).alias("_user")).agg(F.coalesce(F.avg(rating), F.lit(0.0)).alias("_mean")))
+    centred = hot.join(F.broadcast(means), F.col(user).eqNullSafe(F.col("_user"))).drop("_user")
+    r = F.col(rating).cast("double") - F.col("_mean")
+    per_time = centred.groupBy(user, ts, "_mean").agg(
         F.count(F.lit(1)).alias("_rows"),
         F.count(r).alias("_n"),
         F.sum(r).alias("_s"),
         F.sum(r * r).alias("_ss"),
     )
-    sums = pieces.running_totals(per_time, user, ts, ["_rows", "_n", "_s", "_ss"], piece_rows)
+    sums = pieces.running_totals(per_time.drop("_mean"), user, ts, ["_rows", "_n", "_s", "_ss"], piece_rows)
+    sums = sums.join(F.broadcast(means), F.col(user).eqNullSafe(F.col("_user"))).drop("_user")
     n, s, ss = (F.col(c).cast("double") for c in ("_n", "_s", "_ss"))
     variance = F.try_divide(ss - F.try_divide(s * s, n), n - 1)
     stats = sums.select(
         F.col(user).alias("_user"),
         F.col(ts).alias("_ts"),
         F.col("_rows").alias("user_rating_count"),
-        F.try_divide(s, n).alias("user_avg_rating"),
+        (F.col("_mean") + F.try_divide(s, n)).alias("user_avg_rating"),
         F.sqrt(F.greatest(variance, F.lit(0.0))).alias("user_rating_stddev"),
     )
     same = F.col(user).eqNullSafe(F.col("_user")) & F.col(ts).eqNullSafe(F.col("_ts"))

@@ -23,15 +23,16 @@ def embedding_tables(
     interactions: DataFrame,
     order: Sequence[str] = ("ts", "event_id"),
     weight=None,
-    partitions: int = 1,
+    partitions: int | None = None,
+    min_count: int = 5,
     **training,
 ) -> EmbeddingTables:
     """Train on the users' sequences and average over what each user collected.
 
     The vectors are stored once; they are small next to the interactions.
     """
-    sequences = settled(embeddings.item_sequences(interactions, order))
-    model = embeddings.train_item2vec(sequences, partitions=partitions, **training)
+    sequences = settled(embeddings.item_sequences(interactions, order, min_count=min_count))
+    model = embeddings.train_item2vec(sequences, partitions=partitions, min_count=min_count, **training)
     item_emb = settled(embeddings.item_vectors(model))
     user_emb = settled(embeddings.user_vectors(interactions, item_emb, weight))
     return EmbeddingTables(item_emb, user_emb, embeddings.bucket(embeddings.fit_buckets(item_emb), item_emb))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,17 +35,15 @@ def use_utc(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session may
-    fall back to a temporary folder.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset,
+    in local sessions, it is a folder below the warehouse, which is shared too.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        path = tempfile.mkdtemp(prefix="affinis-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(path)
+        path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     return path
 
 
@@ -57,6 +54,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def settled(df: DataFrame) -> DataFrame:
     """Compute once into the shared folder, so later steps see fixed rows and
-    a lost executor never repeats the work before this point."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    a lost executor never repeats the work before this point. Stored as Parquet,
+    so that each later step reads only the columns and row groups it needs."""
+    path = shared_path(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

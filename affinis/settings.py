@@ -51,6 +51,8 @@ CHUNK_ROWS = 500_000
 # Longest piece of a user's sequence kept in one row; Word2Vec cuts longer ones
 # at the same length anyway.
 SEQUENCE_ROWS = 1000
+# Sentences one task of a training pass reads.
+SENTENCES_PER_SHARD = 20_000
 # Item vectors per scoring block and query vectors per scoring block.
 ITEM_BLOCK_ROWS = 4096
 QUERY_BLOCK_ROWS = 1024

@@ -32,9 +32,11 @@ def test_encoders(spark):
     got = encoders.tag_encoder(vocabulary, ["item_tag_1", "item_tag_2"]).transform(df).collect()
     assert [r["item_tag_1_hot"].toArray().tolist() for r in got] == [[1, 0], [0, 1]]
     assert [r["item_tag_2_hot"].toArray().tolist() for r in got] == [[0, 0], [0, 0]]
-    ids = spark.createDataFrame([(0,), (2,), (3,), (-1,)], "id long").select(encoders.in_buckets(F.col("id"), 3).alias("id"))
+    ids = spark.createDataFrame([(0,), (2,), (10**12,), (-1,), (None,)], "id long").select(encoders.in_buckets(F.col("id"), 3).alias("id"))
     hot = encoders.bucket_encoder(spark, {"id": 3}).transform(ids).collect()
-    assert [r["id_hot"].toArray().tolist() for r in hot] == [[1, 0, 0], [0, 0, 1], [0, 0, 0], [0, 0, 0]]
+    got = [r["id_hot"].toArray().tolist() for r in hot]
+    assert got[:2] == [[1, 0, 0], [0, 0, 1]] and got[4] == [0, 0, 0]
+    assert all(sum(x) == 1 for x in got[:4])  # no id is lost, whatever its size
 
 
 def test_cross_bucket_range(spark):
@@ -79,10 +81,18 @@ def test_other_rankers_predict_probabilities(spark, frames):
 def test_two_tower_scores_pairs(frames):
     (train, test), *_ = frames
     model = rankers.two_tower(train, rank=4, iterations=2)
-    got = model.transform(test.select(F.col("user_id").cast("int"), F.col("item_id").cast("int")))
+    got = model.score(test.select("user_id", "item_id"))
     assert got.count() == test.count()
 
 
+def test_two_tower_takes_ids_of_any_size(spark):
+    rows = [(10**15 + u, -(10**12) + i, int(u % 2 == i % 2)) for u in range(6) for i in range(8)]
+    train = spark.createDataFrame(rows, "user_id long, item_id long, label int")
+    asked = spark.createDataFrame([(10**15, -(10**12)), (10**15, -(10**12) + 1), (5, 5)], "user_id long, item_id long")
+    got = {(r.user_id, r.item_id): r.prediction for r in rankers.two_tower(train, rank=2).score(asked).collect()}
+    assert got[10**15, -(10**12)] > got[10**15, -(10**12) + 1] and got[5, 5] is None
+
+
 def test_metrics_by_hand(spark):
     df = spark.createDataFrame([(1, 0.9), (0, 0.2), (1, 0.4), (0, 0.6)], "label int, score double")
     m = rankers.evaluate(df).first()

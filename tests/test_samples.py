@@ -157,3 +157,12 @@ def test_split_parts_cover_the_samples(spark, error):
     a, b = {r["event_id"] for r in train.collect()}, {r["event_id"] for r in test.collect()}
     assert not a & b and len(a | b) == 1000
     assert abs(len(a) - 800) <= (0 if error == 0 else 50)
+
+
+def test_busy_users_with_fractional_ratings(spark):
+    rows = [(u, i, 0.5 + (i * 7 + u) % 11 / 2, f"2024-01-{1 + i // 4:02d}") for u in (1, 2) for i in range(60)]
+    rows += [(3, i, 7.3, f"2024-01-{1 + i:02d}") for i in range(25)] + [(3, 99, None, "2024-02-01")]
+    df = spark.createDataFrame(rows, "user_id long, event_id long, rating double, ts string").withColumn("ts", F.to_timestamp("ts"))
+    shown = ["user_id", "event_id", "user_rating_count", F.round("user_avg_rating", 9), F.round("user_rating_stddev", 9)]
+    plain = sorted(map(tuple, history.add_running_stats(df).select(*shown).collect()))
+    assert sorted(map(tuple, history.add_running_stats(df, hot_rows=10, piece_rows=16).select(*shown).collect())) == plain

@@ -147,3 +147,17 @@ def test_shared_folder_is_needed_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         session.shared_dir(Session())
+
+
+def test_upsert_refuses_repeated_ids_without_an_order(spark, base):
+    delta = spark.createDataFrame([(2, "x", 1.0), (2, "y", 2.0)], base.schema)
+    with pytest.raises(Exception, match="several changes of one id"):
+        index.upsert(base, delta).collect()
+
+
+def test_every_patch_of_a_batch_applies(spark, base):
+    delta = spark.createDataFrame(
+        [(2, None, 9.0, 1), (2, "late", None, 2), (3, "a", 1.0, 5), (3, "b", None, 4), (8, "no", 1.0, 1)], "id long, name string, score double, v int")
+    assert (2, "late", 9.0) in rows(index.patch(base, delta, version="v"))
+    assert (3, "a", 1.0) in rows(index.patch(base, delta, version="v"))
+    assert len(rows(index.patch(base, delta, version="v"))) == 3

@@ -317,7 +317,9 @@ SQL: dict[str, str] = {
     "patch": """
         SELECT i.id, coalesce(c.name, i.name) AS name, round(coalesce(c.score, i.score), 6) AS score,
                coalesce(c.votes, i.votes) AS votes
-        FROM items i LEFT JOIN change c ON c.id = i.id""",
+        FROM items i LEFT JOIN (SELECT id, arg_max(name, version) FILTER (name IS NOT NULL) AS name,
+                arg_max(score, version) FILTER (score IS NOT NULL) AS score,
+                arg_max(votes, version) FILTER (votes IS NOT NULL) AS votes FROM changes GROUP BY id) c ON c.id = i.id""",
     "delete": """
         SELECT id, name, round(score, 6) AS score, votes FROM items WHERE id NOT IN (SELECT id FROM changes)""",
     "get_by_id": """

@@ -672,20 +672,32 @@ def tag_one_hot(spark, d):
 
 
 def _model_frames(spark, d):
-    """Train and test inputs; ids are few here, so id encodings get the given table's range."""
+    """Train and test inputs; the id encodings get the range of the given ids.
+
+    Vectors come from interactions up to the split, so that no model has seen
+    what it is tested on.
+    """
     rows = settled(training(spark, d))
     tags = samples.explode_collects(collections.user_columns(t.user_docs(spark, d))).select(
         "user_id", *encoders.USER_TAGS
     ).distinct()
     rows = rows.join(tags, "user_id", "left")
     train, test = samples.split_by_time(rows, error=0.0)
-    vec = settled(embeddings.item_vectors(_item2vec(spark, d)))
-    users = settled(embeddings.user_vectors(t.interactions(spark, d), vec))
-    sizes = dict(user_buckets=20000, item_buckets=20000)
+    end = train.agg(F.max("ts")).first()[0]
+    past = t.interactions(spark, d).where(F.col("ts") <= F.lit(end))
+    model = embeddings.train_item2vec(embeddings.item_sequences(past, min_count=5))
+    vec = settled(embeddings.item_vectors(model))
+    users = settled(embeddings.user_vectors(past, vec))
+    sizes = _id_ranges(spark, d)
     ready = [settled(encoders.with_model_inputs(f, users, vec, **sizes)) for f in (train, test)]
     return ready, users, vec, rows
 
 
+def _id_ranges(spark, d):
+    ranges = {"user_buckets": (t.all_users(spark, d), "user_id"), "item_buckets": (t.items(spark, d), "id")}
+    return {name: 1 + (rows.agg(F.max(column)).first()[0] or 0) for name, (rows, column) in ranges.items()}
+
+
 def _scored(pipeline, frames):
     train, test = frames
     return rankers.predict(rankers.fit(pipeline, train), test, ["event_id", "user_id", "item_id", "label"])
@@ -713,15 +725,14 @@ def ncf(spark, d):
 def deepfm(spark, d):
     frames, *_ = _model_frames(spark, d)
     vocabulary = collections.tag_vocabulary(t.tag_dict(spark, d))
-    return _scored(rankers.deep_fm(vocabulary, user_buckets=20000, item_buckets=20000), frames)
+    return _scored(rankers.deep_fm(vocabulary, **_id_ranges(spark, d)), frames)
 
 
 @query
 def two_tower(spark, d):
     train, test = samples.split_by_time(training(spark, d), error=0.0)
     model = rankers.two_tower(train)
-    asked = test.select("event_id", F.col("user_id").cast("int"), F.col("item_id").cast("int"))
-    return model.transform(asked).select("event_id", F.col("prediction").alias("score"))
+    return model.score(test.select("event_id", "user_id", "item_id")).select("event_id", F.col("prediction").alias("score"))
 
 
 @query
@@ -744,7 +755,7 @@ def recommend_wide_deep(spark, d):
     model = rankers.fit(rankers.wide_and_deep(spark), train)
     scorer = rankers.scorer(
         model, features.latest_item_features(rows), features.latest_user_features(rows), users, vec,
-        user_buckets=20000, item_buckets=20000,
+        **_id_ranges(spark, d),
     )
     return rec.recommend(
         t.all_users(spark, d), "widendeep", 0, 20, user_emb=users, item_emb=vec,
@@ -767,7 +778,7 @@ def recommend_neural_cf(spark, d):
 
 def _stream(spark, d):
     session.use_utc(spark)
-    raw = refresh.read(spark, f"{d}", t.RAW_EVENTS, pathGlobFilter="events.parquet")
+    raw = refresh.read_table(spark, f"{d}/events.parquet", t.RAW_EVENTS)
     return refresh.ingest(t.as_interactions(raw))
 
 
