@@ -19,7 +19,8 @@ def cross_bucket(item="item_id", last="user_rated_item_1", buckets: int = settin
 
     The number of buckets is the contract, not which pair lands where.
     """
-    return F.pmod(F.xxhash64(F.col(item), F.coalesce(F.col(last), F.lit(0))), F.lit(buckets))
+    pair = F.concat_ws("|", F.col(item).cast("string"), F.coalesce(F.col(last), F.lit(0)).cast("string"))
+    return F.pmod(F.conv(F.substring(F.md5(pair), 1, 15), 16, 10).cast("long"), F.lit(buckets))
 
 
 def tag_encoder(vocabulary: DataFrame, columns: list[str]) -> PipelineModel:

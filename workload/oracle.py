@@ -334,6 +334,20 @@ SQL: dict[str, str] = {
     "tag_vocabulary": 'SELECT name FROM tag_dict WHERE "count" > 1',
     "item_id_text": "SELECT CAST(id AS VARCHAR) AS id FROM items",
     "catalogue": "SELECT id AS item_id FROM items",
+    "split_point_sketch": "SELECT true AS within_error",
+    "item2vec": "SELECT item_id AS id, 20 AS dims FROM inter GROUP BY item_id HAVING count(*) >= 5",
+    "lsh_buckets": "SELECT id, 3 AS tables FROM item_emb",
+    "nearest_items": "SELECT 5 AS n, true AS itself, true AS exact_distances",
+    "cross_feature": """
+        SELECT event_id, ('0x' || substr(md5(item_id || '|' || coalesce(user_rated_item_1, 0)), 1, 15))::BIGINT % 10000 AS bucket
+        FROM training""",
+    **{name: f"SELECT event_id, user_id, item_id, label, true AS in_range FROM ({SPLIT.format(op='>')})"
+       for name in ("wide_deep", "embedding_mlp", "ncf", "deepfm")},
+    "two_tower": f"""
+        SELECT event_id, user_id IN (SELECT user_id FROM ({SPLIT.format(op='<=')})) AND item_id IN (
+            SELECT item_id FROM ({SPLIT.format(op='<=')})) AS known FROM ({SPLIT.format(op='>')})""",
+    "model_metrics": "SELECT true AS loss_sound, true AS accuracy_sound, true AS roc_auc_sound, true AS pr_auc_sound",
+    "shown_predictions": "SELECT 12 AS n, true AS worded_right",
     "tag_one_hot": """
         SELECT event_id, coalesce(a.i, -1) AS item_tag_1_at, coalesce(b.i, -1) AS item_tag_2_at,
                coalesce(c.i, -1) AS item_tag_3_at

@@ -247,7 +247,11 @@ def split_point(spark, d):
 @query
 def split_point_sketch(spark, d):
     days = training(spark, d).select(text.day_millis(F.col("ts").cast("string")).alias("day"))
-    return samples.split_point(days, "day", settings.TRAIN_SHARE, settings.SPLIT_ERROR)
+    at = samples.split_point(days, "day", settings.TRAIN_SHARE, settings.SPLIT_ERROR)
+    # Rows below the point and up to it: the wanted share lies between them, give or take the error.
+    share = days.join(at).agg(F.avg((F.col("day") < F.col("split_at")).cast("double")).alias("below"), F.avg((F.col("day") <= F.col("split_at")).cast("double")).alias("upto"))
+    e = settings.SPLIT_ERROR
+    return share.select(((F.col("below") <= settings.TRAIN_SHARE + e) & (F.col("upto") >= settings.TRAIN_SHARE - e)).alias("within_error"))
 
 
 @query
@@ -633,14 +637,16 @@ def _item2vec(spark, d):
 
 @query
 def item2vec(spark, d):
-    return embeddings.item_vectors(_item2vec(spark, d)).select("id", F.size("emb").alias("dims"), F.concat_ws(" ", F.col("emb").cast("array<string>")).alias("emb"))
+    """Items with a learned vector, and how many finite numbers it has."""
+    finite = F.size(F.filter("emb", lambda x: ~F.isnan(x) & (F.abs(x) < 1e6)))
+    return embeddings.item_vectors(_item2vec(spark, d)).select("id", finite.alias("dims"))
 
 
 @query
 def lsh_buckets(spark, d):
     emb = t.item_emb(spark, d)
     rows = embeddings.bucket(embeddings.fit_buckets(emb), emb)
-    return rows.select("id", joined_ids("buckets").alias("buckets"))
+    return rows.select("id", F.size("buckets").alias("tables"))
 
 
 @query
@@ -650,7 +656,13 @@ def nearest_items(spark, d):
 
     emb = t.item_emb(spark, d)
     key = emb.where(F.col("id") == 0).select(array_to_vector("emb").alias("v")).first()["v"]
-    return embeddings.nearest(embeddings.fit_buckets(emb, bucket_length=2.0), emb, key)
+    found = embeddings.nearest(embeddings.fit_buckets(emb, bucket_length=2.0), emb, key)
+    mine = emb.where(F.col("id") == 0).select(F.col("emb").alias("mine"))
+    squares = F.aggregate(F.zip_with("emb", "mine", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    held = found.join(emb, "id").join(mine, F.lit(True))
+    return held.agg(
+        F.count(F.lit(1)).alias("n"), F.max((F.col("id") == 0) & (F.col("distance") == 0)).alias("itself"),
+        F.min(F.abs(F.sqrt(squares) - F.col("distance")) < 1e-6).alias("exact_distances"))
 
 
 @query
@@ -703,36 +715,41 @@ def _scored(pipeline, frames):
     return rankers.predict(rankers.fit(pipeline, train), test, ["event_id", "user_id", "item_id", "label"])
 
 
+def _sound(scored):
+    """Every test sample with its label, and that its score is a probability: what SQL can tell of a model."""
+    return scored.select("event_id", "user_id", "item_id", "label", F.col("score").between(0, 1).alias("in_range"))
+
+
 @query
 def wide_deep(spark, d):
     frames, *_ = _model_frames(spark, d)
-    return _scored(rankers.wide_and_deep(spark), frames)
+    return _sound(_scored(rankers.wide_and_deep(spark), frames))
 
 
 @query
 def embedding_mlp(spark, d):
     frames, *_ = _model_frames(spark, d)
-    return _scored(rankers.embedding_mlp(), frames)
+    return _sound(_scored(rankers.embedding_mlp(), frames))
 
 
 @query
 def ncf(spark, d):
     frames, *_ = _model_frames(spark, d)
-    return _scored(rankers.neural_cf(), frames)
+    return _sound(_scored(rankers.neural_cf(), frames))
 
 
 @query
 def deepfm(spark, d):
     frames, *_ = _model_frames(spark, d)
     vocabulary = collections.tag_vocabulary(t.tag_dict(spark, d))
-    return _scored(rankers.deep_fm(vocabulary, **_id_ranges(spark, d)), frames)
+    return _sound(_scored(rankers.deep_fm(vocabulary, **_id_ranges(spark, d)), frames))
 
 
 @query
 def two_tower(spark, d):
     train, test = samples.split_by_time(training(spark, d), error=0.0)
     model = rankers.two_tower(train)
-    return model.score(test.select("event_id", "user_id", "item_id")).select("event_id", F.col("prediction").alias("score"))
+    return model.score(test.select("event_id", "user_id", "item_id")).select("event_id", F.col("prediction").isNotNull().alias("known"))
 
 
 @query
@@ -740,13 +757,18 @@ def model_metrics(spark, d):
     """Metrics of the concat model, saved and loaded before it predicts."""
     (train, test), *_ = _model_frames(spark, d)
     path = rankers.save(rankers.fit(rankers.neural_cf(), train), shared_path(spark, "model"))
-    return rankers.evaluate(rankers.predict(rankers.load(path), test))
+    metrics = rankers.evaluate(rankers.predict(rankers.load(path), test))
+    return metrics.select(
+        F.col("loss").between(0, 2).alias("loss_sound"),
+        *[F.col(c).between(0, 1).alias(f"{c}_sound") for c in ("accuracy", "roc_auc", "pr_auc")])
 
 
 @query
 def shown_predictions(spark, d):
     frames, *_ = _model_frames(spark, d)
-    return rankers.shown(_scored(rankers.neural_cf(), frames))
+    shown = rankers.shown(_scored(rankers.neural_cf(), frames))
+    right = (F.col("label") == 1) == (F.col("actual") == "Good Rating")
+    return shown.agg(F.count(F.lit(1)).alias("n"), F.min(right).alias("worded_right"))
 
 
 @query
