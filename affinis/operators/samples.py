@@ -11,14 +11,16 @@ from affinis.functions import arrays, text
 def explode_collects(collections: DataFrame) -> DataFrame:
     """One row per collected item; users with an empty list vanish.
 
-    The user's tags are cut to the five that are used before the list is
+    ``position`` is the place in its list, which tells apart entries of the same
+    time. The user's tags are cut to the five that are used before the list is
     exploded, so that they and not the whole tag array are repeated.
     """
     names = [f"user_tag_{i + 1}" for i in range(settings.USER_TAGS_SHOWN)]
     tags = arrays.tag_names(F.col("user_tags"), names) if "user_tags" in collections.columns else []
     entry = F.col("_entry")
-    return collections.select("user_id", F.explode("collects").alias("_entry"), *tags).select(
+    return collections.select("user_id", F.posexplode("collects").alias("position", "_entry"), *tags).select(
         "user_id",
+        "position",
         F.get(entry, F.lit(0)).try_cast("long").alias("item_id"),
         F.get(entry, F.lit(1)).try_cast("int").alias("rating"),
         F.get(entry, F.lit(2)).alias("ts"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from affinis import settings
 from affinis.operators import features, history, samples as sample_ops
@@ -28,6 +28,17 @@ def training_samples(interactions: DataFrame, items: DataFrame, order: Sequence[
     return history.add_user_features(with_items, order=order, counted=interactions, **sizes)
 
 
+#: Order of samples from nested lists, whose entries have no id of their own.
+NESTED_ORDER = ("ts", "position", "item_id")
+
+
+def nested_samples(collections: DataFrame, items: DataFrame, **sizes) -> DataFrame:
+    """Training samples with the user's tags, straight from nested collection lists."""
+    entries = sample_ops.explode_collects(collections)
+    timed = entries.withColumn("ts", F.col("ts").try_cast("timestamp"))
+    return training_samples(timed, items, order=NESTED_ORDER, **sizes)
+
+
 def feature_tables(
     interactions: DataFrame,
     items: DataFrame,

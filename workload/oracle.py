@@ -116,11 +116,14 @@ PARTS["split_at"] = """
         SELECT day_ms, sum(count(*)) OVER (ORDER BY day_ms) AS upto, sum(count(*)) OVER () AS total
         FROM days GROUP BY day_ms) WHERE upto >= ceil(total * CAST(0.8 AS DOUBLE))"""
 PARTS["recall_300"] = "SELECT * FROM recalled WHERE rank <= 300"
-PARTS["eligible"] = """
+TAGS = ", ".join(f"coalesce(user_tag_{i}, '') AS user_tag_{i}" for i in range(1, 6))
+TAG_NAMES = ", ".join(f"user_tag_{i}" for i in range(1, 6))
+PARTS["eligible"] = f"""
     SELECT c.user_id, c.item_id, c.rank, f.votes, f.score, f.item_tag_1, f.item_tag_2, f.item_tag_3,
-           u.user_rating_count, u.user_avg_rating, u.user_rated_item_1,
+           u.user_rating_count, u.user_avg_rating, u.user_rating_stddev, u.user_rated_item_1, {TAGS},
            row_number() OVER (PARTITION BY c.user_id ORDER BY c.rank) - 1 AS position
     FROM recall_300 c JOIN item_features f USING (item_id) JOIN user_features u USING (user_id)
+        LEFT JOIN user_tags USING (user_id)
     WHERE c.item_id < 323877"""
 
 PARTS["vocabulary"] = """
@@ -236,12 +239,18 @@ SQL: dict[str, str] = {
     "kv_prefix_count": "SELECT count(*) AS n FROM item_emb",
     "kv_vectors": "SELECT id, len(emb) AS dims, round(list_sum(emb), 6) AS total FROM item_emb",
     "tag_map": "SELECT id, tag, n FROM tag_counts",
-    "score_payload": """
+    "training_samples_nested": f"""
+        SELECT user_id, item_id, rating, label, epoch_us(ts) AS ts_us, votes, round(score, 6) AS score, item_tag_1, item_tag_2,
+               item_tag_3, {RATED_PLAIN}, {STATS}, {TAG_NAMES} FROM training JOIN user_tags USING (user_id)""",
+    "latest_user_features_nested": f"""
+        SELECT user_id, {RATED_PLAIN}, {STATS}, {TAGS} FROM user_features JOIN user_tags USING (user_id)""",
+    "score_payload": f"""
         SELECT user_id, position, item_id, votes, round(score, 6) AS score, item_tag_1, item_tag_2, item_tag_3,
-               user_rating_count, round(user_avg_rating, 6) AS user_avg_rating, user_rated_item_1 FROM eligible""",
+               {STATS}, user_rated_item_1, {TAG_NAMES} FROM eligible""",
     "score_parse": "SELECT user_id, item_id, rank, round(score / 10, 6) AS score FROM eligible",
     "user_embedding": """
-        SELECT id, len(emb) AS dims, round(list_sum(emb), 6) AS total, round(emb[1], 6) AS first, round(emb[64], 6) AS last
+        SELECT id, len(emb) AS dims, round(list_sum(emb), 6) AS total,
+               array_to_string(list_transform(emb, lambda x: CAST(round(x * 1e6) AS BIGINT)), ',') AS micros
         FROM user_emb""",
     "user_embedding_sparse": """
         SELECT user_id AS id, round(sum(v) / max(n), 6) AS total FROM (

@@ -150,6 +150,18 @@ def training_samples(spark, d):
     return _training_columns(training(spark, d))
 
 
+def nested_training(spark, d):
+    return feature_plan.nested_samples(collections.user_columns(t.user_docs(spark, d)), item_columns(spark, d))
+
+
+@query
+def training_samples_nested(spark, d):
+    """From collection lists to samples with the user's tags."""
+    return nested_training(spark, d).select(
+        "user_id", "item_id", "rating", "label", micros("ts", "ts_us"), "votes", *six("score"), *ITEM_TAGS, *RATED, *stats(),
+        *encoders.USER_TAGS)
+
+
 @query
 def training_samples_in_pieces(spark, d):
     """The same with every user worked on in pieces."""
@@ -277,6 +289,13 @@ def latest_item_features(spark, d):
     return rows.select("item_id", *ITEM_TAGS, "votes", *six("score"))
 
 
+@query
+def latest_user_features_nested(spark, d):
+    """With the user's tags, from collection lists."""
+    rows = features.latest_user_features(nested_training(spark, d), feature_plan.NESTED_ORDER)
+    return rows.select("user_id", *RATED, *stats(), *encoders.USER_TAGS)
+
+
 @query
 def latest_user_features(spark, d):
     return features.latest_user_features(training(spark, d)).select("user_id", *RATED, *stats())
@@ -336,14 +355,14 @@ def tag_map(spark, d):
 
 
 def _eligible(spark, d):
-    rows = settled(training(spark, d))
+    rows, order = settled(nested_training(spark, d)), feature_plan.NESTED_ORDER
     found = recalled(spark, d).select("user_id", "item_id", "rank")
     return payload.assemble(
-        found, features.latest_item_features(rows), features.latest_user_features(rows)
+        found, features.latest_item_features(rows, order), features.latest_user_features(rows, order)
     )
 
 
-PAYLOAD = ["votes", "score", *ITEM_TAGS, "user_rating_count", "user_avg_rating", "user_rating_stddev", "user_rated_item_1"]
+PAYLOAD = ["votes", "score", *ITEM_TAGS, "user_rating_count", "user_avg_rating", "user_rating_stddev", "user_rated_item_1", *encoders.USER_TAGS]
 
 
 @query
@@ -353,13 +372,14 @@ def score_payload(spark, d):
     instance = (
         "user_id long, item_id long, votes long, score double, item_tag_1 string, item_tag_2 string, "
         "item_tag_3 string, user_rating_count long, user_avg_rating double, user_rating_stddev double, "
-        "user_rated_item_1 long"
+        "user_rated_item_1 long, user_tag_1 string, user_tag_2 string, user_tag_3 string, user_tag_4 string, user_tag_5 string"
     )
     parsed = F.from_json("payload", f"instances array<struct<{instance.replace(' ', ':').replace(',:', ',')}>>")
     rows = sent.select("user_id", F.posexplode(parsed["instances"]).alias("position", "i"))
     return rows.select(
         "user_id", "position", "i.item_id", "i.votes", F.round("i.score", 6).alias("score"), *[f"i.{c}" for c in ITEM_TAGS],
-        "i.user_rating_count", F.round("i.user_avg_rating", 6).alias("user_avg_rating"), "i.user_rated_item_1",
+        "i.user_rating_count", F.round("i.user_avg_rating", 6).alias("user_avg_rating"),
+        F.round("i.user_rating_stddev", 6).alias("user_rating_stddev"), "i.user_rated_item_1", *[f"i.{c}" for c in encoders.USER_TAGS],
     )
 
 
@@ -389,7 +409,7 @@ def _sum(column):
 def user_embedding(spark, d):
     return user_emb(spark, d).select(
         "id", F.size("emb").cast("long").alias("dims"), F.round(_sum("emb"), 6).alias("total"),
-        F.round(F.get("emb", F.lit(0)), 6).alias("first"), F.round(F.get("emb", F.lit(63)), 6).alias("last"),
+        F.array_join(F.transform("emb", lambda x: F.round(x * 1e6).cast("long").cast("string")), ",").alias("micros"),
     )
 
 
