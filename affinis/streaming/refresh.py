@@ -22,12 +22,12 @@ def read(spark: SparkSession, path: str, schema, fmt: str = "parquet", **options
     return spark.readStream.format(fmt).schema(schema).options(**options).load(path)
 
 
-def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema, **options) -> DataFrame:
     """A Parquet table as a stream, whether it is a folder of files or one file."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
-        return read(spark, path, schema)
-    return read(spark, at.getParent().toString(), schema, pathGlobFilter=at.getName())
+        return read(spark, path, schema, **options)
+    return read(spark, at.getParent().toString(), schema, pathGlobFilter=at.getName(), **options)
 
 
 def ingest(stream: DataFrame, delay: str = "1 hour", ts: str = "ts", event: str = "event_id") -> DataFrame:
