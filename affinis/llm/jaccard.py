@@ -254,8 +254,9 @@ def classes(docs: DataFrame, text_col: str, rid: str, threshold: float = THRESHO
     spark = docs.sparkSession
     texts = docs.select(F.col(rid).alias("rid"), F.col(text_col).alias("text"))
     signed = settle(texts.mapInArrow(_sign, "rid long, key binary, sig array<long>").where("key is not null"), "signatures")
-    firsts = signed.groupBy("key").agg(F.min("rid").alias("rid"))
-    members = settle(signed.select("rid", "key").join(firsts.withColumnRenamed("rid", "class_rid"), "key").select("rid", "class_rid"), "members")
+    # Stored, so that the join below is between two shuffles of tables and a class of very many copies can be split.
+    firsts = settle(signed.groupBy("key").agg(F.min("rid").alias("class_rid")), "classes")
+    members = settle(signed.select("rid", "key").join(firsts, "key").select("rid", "class_rid"), "members")
     alone = settle(signed.join(members.where("rid = class_rid").select("rid"), "rid").select("rid", "sig"), "class-signatures")
 
     banded = alone.select("rid", F.posexplode("sig").alias("band", "bucket"))
