@@ -177,6 +177,9 @@ def _keeper(patterns, text_col: str):
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` that hold no window, with all its columns."""
+    names = docs.columns
+    # By place, since names may hold what the API reads as a path.
+    out = docs.toDF(*(f"c{i}" for i in range(len(names))))
     for shard in automata(items, window=window):
-        docs = docs.mapInArrow(_keeper(shard, text_col), docs.schema)
-    return docs
+        out = out.mapInArrow(_keeper(shard, f"c{names.index(text_col)}"), out.schema)
+    return out.toDF(*names)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from affinis.llm import words as W
 from affinis.llm.components import components
-from affinis.llm.store import rename, settle
+from affinis.llm.store import named, rename, settle
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -311,4 +311,4 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     best = found.join(ids, "rid").groupBy("group_rid").agg(
         F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("rid"))).alias("best"))
     lost = settle(found.join(best, "group_rid").where(F.col("rid") != F.col("best.rid")).select(F.col("rid").alias(rid)), "near-lost")
-    return rows.join(lost, rid, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return rows.join(lost, rid, "left_anti").select(*(named(c) for c in docs.columns))

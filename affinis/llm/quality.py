@@ -15,7 +15,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from affinis.llm.store import rename
+from affinis.llm.store import named, rename
 
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
@@ -129,4 +129,4 @@ def rate(docs: DataFrame, text_col: str = "text", rules=RULES, out: str = "quali
 def keep(docs: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
     """The rows whose text passes, with the columns of ``docs``."""
     verdict = rename(docs.columns, "_quality")
-    return rate(docs, text_col, rules, verdict).where(F.col(verdict)["kept"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return rate(docs, text_col, rules, verdict).where(F.col(verdict)["kept"]).select(*(named(c) for c in docs.columns))

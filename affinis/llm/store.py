@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -33,3 +33,8 @@ def rename(columns: list[str], taken: str) -> str:
     while taken.lower() in low:
         taken += "_"
     return taken
+
+
+def named(column: str):
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + column.replace("`", "``") + "`")

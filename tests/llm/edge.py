@@ -7,7 +7,7 @@ import re
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, n_words string, kept boolean, rid int, counts int, "
-          "_text string, _places int, size string, spans int, items string, u double, class_id string, batch int, `doc` string")
+          "_text string, _places int, size string, spans int, items string, u double, class_id string, batch int, `doc.x y` string")
 
 
 def words(text: str | None) -> list[str]:
