@@ -4,7 +4,9 @@ A small tree builder (implied end tags, void and raw-text elements, stray end ta
 renderer that emits every visible text: blocks on lines of their own with blank lines where browsers leave
 space, list markers with indents, preformatted text as it is, table cells aligned in columns. Hidden are
 scripts, styles, head matter, fallbacks, closed details and dialogs, the ``hidden`` attribute, and
-``display:none`` or ``visibility:hidden`` by style attribute or by plain rules of the page's own style sheet.
+``display:none`` or ``visibility:hidden`` by style attribute or by plain rules of the page's own style sheet that
+hold on every screen: rules for print or under conditions (widths, preferences) hide nothing. Of drawings the text
+elements are emitted, each on lines of its own; definitions and what ``use`` repeats of them are not.
 
 Pages are independent: one pass, no shuffle, memory bounded by a page. Elements nested deeper than
 ``MAX_DEPTH`` are laid out at that depth; columns wider than ``MAX_COLUMN`` are not padded, so that padding
@@ -30,7 +32,7 @@ MAX_SPAN = 100
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 UNSEEN = frozenset(
-    "head title script style template noscript iframe noembed noframes object audio video canvas svg datalist base link meta param "
+    "head title script style template noscript iframe noembed noframes object audio video canvas datalist base link meta param "
     "source track area".split())
 #: Blocks with a blank line around them, and blocks on lines of their own.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure fieldset hr menu".split())
@@ -47,12 +49,19 @@ ENDS = {
 }
 #: Start tags that end an open paragraph.
 ENDS_P = (BLOCKS | {"hr"}) - {"html", "body", "li", "dt", "dd", "tr", "td", "th", "caption", "thead", "tbody", "tfoot", "option", "optgroup", "select", "textarea", "legend"}
+#: What a drawing holds without drawing it, and the elements that end a drawing left open.
+UNDRAWN = frozenset("defs symbol clippath mask pattern marker lineargradient radialgradient filter metadata desc title".split())
+ENDS_SVG = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby "
+    "s small span strong strike sub sup table tt u ul var".split())
 HEAD_ONLY = frozenset("head title meta link base style script template noscript".split())
 
 START = re.compile(r"<([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>")
 END = re.compile(r"</([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+#: What a style sheet is cut at: comments, strings, addresses and escapes are passed over as wholes.
+CSS = re.compile(r"/\*.*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*+\"?|'(?:[^'\\\n]|\\.)*+'?|\b[uU][rR][lL]\([^\"'()]*\)|\\.|[{};]", re.S)
+MEDIUM = re.compile(r"(?:only\s+)?(?:all|screen)|not\s+(?!(?:all|screen|only|not)$)[a-z-]+")
 SPACE = re.compile(r"[ \t\n\f\r]+")
 
 
@@ -73,6 +82,14 @@ def _attributes(text: str) -> dict[str, str]:
 def build(html: str) -> Node:
     root = Node("#root", {})
     stack = [root]
+    drawings = False
+
+    def drawing() -> int:
+        """Where the drawing begins whose elements are read, or 0."""
+        for i in range(len(stack) - 1 if drawings else 0, 0, -1):
+            if stack[i].tag in ("svg", "foreignobject"):
+                return i if stack[i].tag == "svg" else 0
+        return 0
 
     def close(tags: set[str], bounds: set[str]) -> None:
         """End the outermost of ``tags`` that is open within ``bounds``."""
@@ -142,18 +159,26 @@ def build(html: str) -> Node:
             tag = start.lower()
             if stack[-1].tag == "head" and tag not in HEAD_ONLY:
                 stack.pop()
+            drawn = drawing()
+            if drawn and tag in ENDS_SVG:
+                del stack[drawn:]
+                drawn = 0
+            drawings |= tag == "svg"
             if tag in ENDS_P:
                 close({"p"}, {"td", "th", "table", "button", "li", "dd"})
             if tag in ENDS:
                 close(*ENDS[tag])
             node = Node(tag, _attributes(rest) if rest.strip(" \t\n/") else {})
             stack[-1].children.append(node)
+            if (drawn or tag in ("svg", "path")) and rest.rstrip().endswith("/"):
+                continue
             if tag in RAW:
                 stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
                 text = html[at: stop.start() if stop else len(html)]
                 node.children.append(unescape(text) if tag in ("textarea", "title") else text)
                 at = stop.end() if stop else len(html)
-            elif tag not in VOID and not (rest.rstrip().endswith("/") and tag in ("svg", "path")) and len(stack) < MAX_DEPTH:
+            # A drawing leaves room for the elements that hold its text.
+            elif tag not in VOID and len(stack) < MAX_DEPTH - (2 if tag == "svg" else 1 if drawn and tag not in ("text", "foreignobject") else 0):
                 stack.append(node)
     return root
 
@@ -164,14 +189,67 @@ def _hiding(style: str) -> str:
     return "none" if "display:none" in style else "hidden" if re.search("visibility:(hidden|collapse)", style) else "visible" if "visibility:visible" in style else ""
 
 
+def _any_screen(media: str) -> bool:
+    """Whether a list of media holds on every screen."""
+    return not media.strip() or any(MEDIUM.fullmatch(m.strip()) for m in media.lower().split(","))
+
+
+def _holds(at_rule: str) -> bool:
+    """Whether the rules within an at-rule hold on every screen."""
+    name, rest = re.fullmatch(r"@([\w-]*)(.*)", at_rule, re.S).groups()
+    name = name.lower()
+    return name == "layer" or name == "media" and _any_screen(rest) or name == "supports" and not re.match(r"\s*not\b", rest, re.I)
+
+
+def _rules(css: str) -> Iterator[tuple[str, str]]:
+    """Selectors and declarations of the style rules that hold on every screen; a sheet's end closes what is open."""
+    open_: list[tuple[str, bool, list[str]]] = [("", True, [])]  # selectors, whether the rules hold, declarations
+    now: list[str] = []
+    at = 0
+    for token in CSS.finditer(css):
+        now.append(css[at: token.start()])
+        at, what = token.end(), token[0]
+        selectors, holds, body = open_[-1]
+        if what == "{":
+            head, now = "".join(now).strip(), []
+            if head.startswith("@"):
+                open_.append((selectors, holds and _holds(head), []))
+            else:  # a rule within a rule is about elements within others
+                open_.append((head, holds and not selectors, []))
+        elif what == "}":
+            body.append("".join(now))
+            now = []
+            if len(open_) > 1:
+                open_.pop()
+                if selectors and holds:
+                    yield selectors, "".join(body)
+        elif what == ";":
+            if selectors:
+                body.append("".join([*now, ";"]))
+                now = []
+            elif next((x for x in now if x.strip()), "").lstrip().startswith("@"):
+                now = []
+            else:
+                now.append(";")
+        elif what[0] in "\"'":
+            now.append('""')
+        elif not what.startswith("/*"):
+            now.append(what)
+    if open_[-1][0]:
+        open_[-1][2].append("".join([*now, css[at:]]))
+    for selectors, holds, body in reversed(open_):
+        if selectors and holds:
+            yield selectors, "".join(body)
+
+
 def _sheets(root: Node) -> dict[str, str]:
     """Plain rules (tag, .class, #id, tag.class) of the page's style sheets that hide something."""
     found: dict[str, str] = {}
     nodes = [root]
     while nodes:
         node = nodes.pop()
-        if node.tag == "style":
-            for selectors, body in RULE.findall(re.sub(r"/\*.*?\*/", "", "".join(node.children), flags=re.S)):
+        if node.tag == "style" and _any_screen(node.attrs.get("media", "")):
+            for selectors, body in _rules("".join(node.children)):
                 if says := _hiding(body):
                     found.update((s.strip(), says) for s in selectors.split(",") if re.fullmatch(r"[\w-]*[.#]?[\w-]+", s.strip()))
         nodes.extend(c for c in node.children if not isinstance(c, str))
@@ -248,6 +326,8 @@ class Page:
             elif tag == "input":
                 if shown:
                     self.text(" " + child.attrs.get("value", "") + " ", False)
+            elif tag == "svg":
+                self.draw(child, shown)
             elif tag == "table":
                 self.block(True)
                 self.table(child, shown)
@@ -273,6 +353,29 @@ class Page:
             else:
                 self.walk(child, shown, pre)
 
+    def draw(self, node: Node, seen: bool, text: bool = False) -> None:
+        """The text elements of a drawing."""
+        for child in node.children:
+            if isinstance(child, str):
+                if seen and text:
+                    self.text(child, False)
+                continue
+            a = child.attrs
+            says = self.says(child) or _hiding(f"display:{a.get('display', '')};visibility:{a.get('visibility', '')}")
+            if says == "none" or child.tag in UNDRAWN:
+                continue
+            shown = seen if not says else says == "visible"
+            if child.tag in ("text", "foreignobject"):
+                if shown:
+                    self.block(False)
+                self.draw(child, shown, True) if child.tag == "text" else self.walk(child, shown)
+                if shown:
+                    self.block(False)
+            else:
+                if text and child.tag == "tspan" and ("x" in a or "y" in a):
+                    self.end_line()
+                self.draw(child, shown, text)
+
     def table(self, table: Node, seen: bool) -> None:
         """Rows of cells, each cell laid out for itself, padded to the width of its column."""
         rows: list[list[list[str]]] = []

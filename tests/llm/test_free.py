@@ -332,6 +332,30 @@ def test_rendering(html, text):
     assert rendering.render(html) == text
 
 
+@pytest.mark.parametrize("css,hidden", [
+    ("@media print{.x{display:none}}", False), ("@media (max-width:600px){.y, .x{display:none}} .z{color:red}", False),
+    ("@media screen and (max-width:600px){.x{display:none}}", False), ("@media not screen{.x{display:none}}", False),
+    ("@media print, screen{.x{display:none}}", True), ("@media only screen{.x{display:none}}", True), ("@media all{@media print{.x{display:none}}}", False),
+    ("@media not print{.x{display:none}}", True), ("@media print{.y{color:red}} .x{display:none}", True), ("@media print{.y{color:red}}.x{display:none", True),
+    ("@import 'a{';.x{display:none}", True), (".y::before{content:'}'} .x{display:none}", True), (".y{color:red;.x{display:none}}", False),
+    (".x{@media print{display:none}}", False), ("@container (width<9px){.x{display:none}}", False), ("@layer a{.x{display:none}}", True),
+    ("@supports not (a:b){.x{display:none}}", False), ("/* } */.x{color:red;display:none}", True), ("}.x{display:none}", True),
+])
+def test_rendering_applies_rules_of_every_screen(css, hidden):
+    assert rendering.render(f"<style>{css}</style><p class=x>a</p>b") == ("b" if hidden else "a\n\nb")
+
+
+@pytest.mark.parametrize("html,text", [
+    ("<style media=print>.x{display:none}</style><i class=x>a</i>b", "ab"), ("<style media=screen>.x{display:none}</style><i class=x>a</i>b", "b"),
+    ("<p>a<svg viewBox='0 0 1 1'><title>no</title>no<rect/><text x=1>b <tspan>c</tspan><tspan x=1 dy=9>d</tspan></text><g><text>e</text></g></svg>f", "a\nb c\nd\ne\nf"),
+    ("a<svg><defs><text>no</text></defs><style/><text display=none>no</text><text visibility='hidden'>no</text></svg>b", "ab"),
+    ("<style>svg{display:none}</style>a<svg><text>no</text></svg>b", "ab"), ("<svg><foreignObject><p>a</p></foreignObject><text>b</text></svg>c", "a\n\nb\nc"),
+    ("<svg><g><p>a</p>b", "a\n\nb"), ("<svg><g>" * 300 + "<text>a", "a"), ("<svg><foreignObject>" * 300 + "a", "a"), ("<table><tr><td><svg><text>a</text></svg><td>b</table>", "a  b"),
+])
+def test_rendering_of_drawings_and_media(html, text):
+    assert rendering.render(html) == text
+
+
 def test_rendering_keeps_all_words_and_ends():
     deep = "<div><b>" * 3000 + "deep" + "</b></div>" * 3000
     assert rendering.render(deep) == "deep"
