@@ -7,12 +7,13 @@ the odds of inclusion, and the smallest ranks are taken. Sizes fix the sample: t
 taken words are full, and up to ``CLOSERS`` documents whose sizes come nearest to the gap left close it.
 
 At scale: one scan of the texts, stored as a slim table. A source may hold a third of all rows, so no task
-ever ranks a source: ranks fall into cells, cells are summed (at most ``CELLS`` rows a source), and only the
-cell in which a source fills up is opened, twice. Per-source figures are one row a source and are joined by
+ever ranks a source: rows equal in rank, id and size become one group with their number, ranks fall into cells,
+cells are summed (at most ``CELLS`` rows a source), and only the cell in which a source fills up is opened, twice.
+How many of a group's rows fit is found by division; rows of groups taken in part are made anew, in pieces. Per-source figures are one row a source and are joined by
 their measured size.
 
 Defined results: null texts have size 0; null sources are one source, sorted last; sizes of 0 take 0. Repeated
-rows are separate documents with equal ``u``; equal ranks go by id and size, so rows that swap are equal.
+rows are separate documents with equal ``u``, taken one by one; equal ranks go by id and size, so rows that swap are equal.
 An empty table gives an empty one. Other columns are not read and may have any name.
 """
 
@@ -27,6 +28,7 @@ SHARE = 1.5
 REPEATS = 2
 CELLS = 4096
 CLOSERS = 3
+PIECE = 1000
 SPACES = r"[\x20\x09-\x0D]"
 
 
@@ -92,40 +94,66 @@ def mix(
     place = q / (1 + q)
     ranked = slim.join(plan.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     ranked = ranked.withColumn("rank", F.when(F.col("odds") > 0, place))
-    ranked = ranked.withColumn("coarse", F.floor(F.col("rank") * CELLS).cast("int"))
-    ranked = ranked.withColumn("fine", F.floor((F.col("rank") * CELLS - F.col("coarse")) * CELLS).cast("int"))
-    wanted = ranked.where(F.col("rank").isNotNull())
+    # Rows equal in all that orders them, with their number.
+    groups = ranked.where(F.col("rank").isNotNull()).groupBy("source", "need", "rank", "doc_id", "size").agg(F.count("*").alias("copies"))
+    groups = groups.withColumn("coarse", F.floor(F.col("rank") * CELLS).cast("int"))
+    groups = groups.withColumn("fine", F.floor((F.col("rank") * CELLS - F.col("coarse")) * CELLS).cast("int"))
+    groups = settle(groups.withColumn("words", F.col("size") * F.col("copies")), "mix-groups")
 
-    first = _fill(wanted.groupBy("source", "need", "coarse").agg(F.sum("size").alias("size")), ["coarse"], "need")
+    first = _fill(groups.groupBy("source", "need", "coarse").agg(F.sum("words").alias("size")), ["coarse"], "need")
     first = settle(first.select(F.col("source").alias("s1"), F.col("cell.coarse").alias("c1"), F.col("left").alias("need1")), "mix-cells")
     same = F.col("source").eqNullSafe(F.col("s1")) & (F.col("coarse") == F.col("c1"))
-    opened = wanted.join(first, same)
-    second = _fill(opened.groupBy("source", "need1", "fine").agg(F.sum("size").alias("size")), ["fine"], "need1")
+    opened = groups.join(first, same)
+    second = _fill(opened.groupBy("source", "need1", "fine").agg(F.sum("words").alias("size")), ["fine"], "need1")
     second = settle(second.select(F.col("source").alias("s2"), F.col("cell.fine").alias("c2"), F.col("left").alias("need2")), "mix-cells")
     rows = opened.join(second, F.col("source").eqNullSafe(F.col("s2")) & (F.col("fine") == F.col("c2")))
     order = Window.partitionBy("source").orderBy("rank", "doc_id", "size")
-    rows = rows.withColumn("left", F.col("need2") - (F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")))
-    # The document at which the words are full, and the gap that those before it leave.
-    edge = rows.where((F.col("left") > 0) & (F.col("left") <= F.col("size"))).groupBy("source").agg(
-        F.min(F.struct("rank", "doc_id", "size", "left")).alias("edge"))
+    rows = rows.withColumn("left", F.col("need2") - (F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")))
+    # The group in which the words are full; how many of its copies come before the document at which they are; the gap.
     here = F.struct("rank", "doc_id", "size")
-    limit = F.struct(*(F.col(f"edge.{c}").alias(c) for c in ("rank", "doc_id", "size")))
+    edge = rows.where((F.col("left") > 0) & (F.col("left") <= F.col("words"))).groupBy("source").agg(
+        F.min(F.struct(here.alias("it"), "copies", "left")).alias("edge"))
+    size, left = F.col("edge.it.size"), F.col("edge.left")
+    fit = F.ceil(left / size) - 1
+    fit = fit + F.when(left - fit * size > size, 1).otherwise(0)
+    limit = F.struct(F.col("edge.it").alias("it"), F.col("edge.copies").alias("copies"))
     gaps = settle(edge.select(
-        F.col("source").alias("s3"), limit.alias("limit"), F.col("edge.left").alias("gap"),
+        F.col("source").alias("s3"), limit.alias("limit"), fit.alias("fit"), (left - fit * size).alias("gap"),
         F.filter(F.array(limit), lambda x: F.lit(False)).alias("more")), "mix-gaps")
     of_source = F.col("source").eqNullSafe(F.col("s3"))
     # A source whose sample needs no words has no edge and takes none.
-    first_part, extra = F.coalesce(here < F.col("limit"), F.lit(False)), F.coalesce(F.array_contains("more", here), F.lit(False))
+    first_part = F.coalesce(here < F.col("limit.it"), F.lit(False))
+
+    def used(it: Column) -> Column:
+        """How many documents of a group not before the edge are taken."""
+        picks = F.size(F.filter("more", lambda x: x["it"].eqNullSafe(it)))
+        return picks + F.when(it.eqNullSafe(F.col("limit.it")), F.col("fit")).otherwise(0)
+
     for _ in range(CLOSERS):
         off = F.abs(F.col("size") - F.col("gap"))
-        close = ranked.join(gaps, of_source).where(~first_part & ~extra & (off < F.col("gap"))).groupBy("s3").agg(
-            F.min(F.struct(off.alias("off"), here.alias("it"))).alias("close"))
+        close = groups.join(gaps, of_source).where(~first_part & (off < F.col("gap")) & (used(here) < F.col("copies"))).groupBy("s3").agg(
+            F.min(F.struct(off.alias("off"), here.alias("it"), "copies")).alias("close"))
         close = settle(close.select(F.col("s3").alias("s4"), "close"), "mix-close")
+        pick = F.struct(F.col("close.it").alias("it"), F.col("close.copies").alias("copies"))
         gaps = settle(gaps.join(close, F.col("s3").eqNullSafe(F.col("s4")), "left").select(
-            "s3", "limit",
+            "s3", "limit", "fit",
             (F.col("gap") - F.coalesce(F.col("close.it.size"), F.lit(0))).alias("gap"),
-            F.when(F.col("close").isNull(), F.col("more")).otherwise(F.array_append("more", F.col("close.it"))).alias("more"),
+            F.when(F.col("close").isNull(), F.col("more")).otherwise(F.array_append("more", pick)).alias("more"),
         ), "mix-gaps")
+
+    # Groups taken in part, at most CLOSERS + 1 a source: their rows are equal and are made from their number, piece by piece.
+    part = gaps.select("s3", "limit", "fit", "more", F.explode(F.array_distinct(F.array_append("more", F.col("limit")))).alias("x"))
+    part = part.select("s3", F.col("x.it").alias("it"), F.col("x.copies").alias("copies"), used(F.col("x.it")).alias("used"))
+    part = part.join(plan, F.col("s3").eqNullSafe(F.col("source"))).select(
+        F.col("it.doc_id").alias("doc_id"), F.col("it.size").alias("size"), "source_size", "target", "whole", "copies", "used",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / PIECE))).alias("piece"))
+    last = F.least("copies", (F.col("piece") + 1) * PIECE) - 1
+    part = part.repartition("doc_id", "size", "piece").withColumn("number", F.explode(F.sequence(F.col("piece") * PIECE, last)))
+    taken = (F.col("size") * (F.col("whole") + F.when(F.col("number") < F.col("used"), 1).otherwise(0))).cast("long").alias("taken")
+    part = part.select("doc_id", "size", "source_size", "target", taken)
+
+    # All other rows go by their value alone.
     done = ranked.join(gaps, of_source, "left")
-    times = F.col("whole") + F.when(first_part | extra, 1).otherwise(0)
-    return done.select("doc_id", "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken"))
+    within = F.coalesce(here.eqNullSafe(F.col("limit.it")) | F.exists("more", lambda x: x["it"].eqNullSafe(here)), F.lit(False))
+    taken = (F.col("size") * (F.col("whole") + F.when(first_part, 1).otherwise(0))).cast("long").alias("taken")
+    return done.where(~within).select("doc_id", "size", "source_size", "target", taken).unionAll(part)

@@ -83,6 +83,36 @@ def test_mix_comes_near_its_targets(spark, n):
         assert abs(taken[s] - target[s]) <= (largest[s] if n < 10 else 0.02 * target[s])
 
 
+def _mixed(rows):
+    """The sample of one source, row by row; (size, taken) of each."""
+    ranked = sorted(((u / (1 - u), i is not None, i, n) for i, n, u in rows), key=lambda r: (r[0], r[1], r[2] or 0, r[3]))
+    total = sum(r[3] for r in ranked)
+    gap, taken = total * 1.5 - total, [1] * len(ranked)
+    for k, r in enumerate(ranked):
+        if r[3] >= gap:
+            break
+        gap -= r[3]
+        taken[k] = 2
+    for _ in range(mixing.CLOSERS):
+        off = [(abs(r[3] - gap), k) for k, r in enumerate(ranked) if taken[k] == 1 and abs(r[3] - gap) < gap]
+        if off:
+            taken[min(off)[1]] = 2
+            gap -= ranked[min(off)[1]][3]
+    return sorted((repr(r[2]), r[3], r[3] * t) for r, t in zip(ranked, taken))
+
+
+@pytest.mark.parametrize("copies,seed,fixed", [(5000, 0, 7), (5000, 1, None), (3, 2, 7), (1, 3, 7)])
+def test_mix_takes_repeated_rows_one_by_one(spark, copies, seed, fixed):
+    # Most words are in rows that repeat, so the edge falls among them; closers pick from small groups of repeats.
+    rows = [(fixed, edge.prose(seed, 11))] * copies + [(100 + i // 3, edge.prose(500 + i // 3, 1 + i // 3 % 12)) for i in range(60)]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string").repartition(4)
+    out = mixing.mix(docs)
+    u = docs.select("doc_id", mixing.word_count(docs.text), mixing.uniform(docs.doc_id, docs.text, 17)).collect()
+    assert sorted((repr(r.doc_id), r.size, r.taken) for r in out.collect()) == _mixed([tuple(r) for r in u])
+    target = out.first().target
+    assert abs(sum(r.taken for r in out.collect()) - target) <= 6
+
+
 def _deduped(rows):
     key = lambda x: edge.lower(x.strip(" \t\n\x0b\x0c\r"))
     holders = defaultdict(set)
