@@ -6,7 +6,8 @@ to grow with, and a lost executor costs its own splits only. Every text is count
 
 Defined results: null and empty texts have no words and fail the base rule; repeated rows are judged alike;
 an empty table gives an empty one; further columns pass through untouched, whatever their names.
-Equal three-word windows of a text are found by the high bits of a 64-bit hash and then compared word by word.
+Equal three-word windows of a text are found by the high bits of a 64-bit hash and then compared word by word; where
+different windows share these bits, all windows that have them are sorted by their words.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from affinis.llm.store import named, rename
 
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
+#: At least so many low bits of a window's hash give way to its place.
+PLACE_BITS = 24
 #: Frequent short words of English, German, French and Spanish.
 STOP_WORDS = (
     "the of and to in is that it for as with on by at an be this was are from or "
@@ -53,9 +56,9 @@ RULES = (
 def score(docs: DataFrame, text_col: str = "text", out: str = "counts") -> DataFrame:
     """``docs`` and a struct of counts under the name ``out`` (which must be free)."""
     names = {}
-    for k in ("text", "words", "lines", "mask", "grams", "again"):
+    for k in ("text", "words", "lines", "mask", "grams", "mixed", "alike", "again"):
         names[k] = rename([*docs.columns, out, *names.values()], f"_{k}")
-    text, words, lines, mask, grams, again = (F.col(names[k]) for k in names)
+    text, words, lines, mask, grams, mixed, alike, again = (F.col(names[k]) for k in names)
     n, spaces = F.size(words), F.lit(" \t\n\x0b\x0c\r")
 
     def same(a: Column, b: Column) -> Column:
@@ -73,14 +76,31 @@ def score(docs: DataFrame, text_col: str = "text", out: str = "counts") -> DataF
         names["lines"]: F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
     })
     # The low bits of a window's hash give way to its place: sorted as plain numbers, equal windows are neighbours.
-    bits = F.greatest(F.lit(24), F.ceil(F.log2(n + F.lit(2)))).cast("int")
+    bits = F.greatest(F.lit(PLACE_BITS), F.ceil(F.log2(n + F.lit(2)))).cast("int")
     step = step.withColumn(names["mask"], F.call_function("shiftleft", F.lit(-1).cast("long"), bits))
     step = step.withColumn(names["grams"], F.sort_array(F.slice(F.transform(
         words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).bitwiseAND(mask)
         .bitwiseOR(i.cast("long"))), F.lit(1), F.greatest(n - 2, F.lit(0)))))
-    step = step.withColumn(names["again"], F.sort_array(F.transform(
+    # Different windows may share their high bits and part equal ones. Usually there are none.
+    step = step.withColumn(names["mixed"], F.array_distinct(F.transform(F.filter(grams, lambda x, i: (
+        x.bitwiseAND(mask) == F.get(grams, i - 1).bitwiseAND(mask)) & ~same(x, F.get(grams, i - 1))), lambda x: x.bitwiseAND(mask))))
+
+    def spelled(x: Column) -> Column:
+        p = x.bitwiseAND(F.bitwise_not(mask))
+        at = p.cast("int")
+        return F.struct(F.get(words, at).alias("a"), F.get(words, at + 1).alias("b"), F.get(words, at + 2).alias("c"), p.alias("p"))
+
+    def equal(x: Column, y: Column) -> Column:
+        return F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False))
+
+    step = step.withColumn(names["alike"], F.when(F.size(mixed) > 0, F.sort_array(F.transform(
+        F.filter(grams, lambda x: F.array_contains(mixed, x.bitwiseAND(mask))), spelled))))
+    found = F.transform(
         F.filter(grams, lambda x, i: same(x, F.get(grams, i - 1)) | same(x, F.get(grams, i + 1))),
-        lambda x: x.bitwiseAND(F.bitwise_not(mask)))))
+        lambda x: x.bitwiseAND(F.bitwise_not(mask)))
+    parted = F.transform(
+        F.filter(alike, lambda x, i: equal(x, F.get(alike, i - 1)) | equal(x, F.get(alike, i + 1))), lambda x: x["p"])
+    step = step.withColumn(names["again"], F.sort_array(F.when(F.size(mixed) > 0, F.array_union(found, parted)).otherwise(found)))
     # A repeated window covers the words up to the next repeated one, three at most.
     covered = F.aggregate(
         F.transform(again, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(again, i + 1) - p, F.lit(3)))),

@@ -29,6 +29,15 @@ def test_quality_counts(spark):
     assert {r[0] for r in kept} >= {1, 2, 3, 9, 10, 13} and not {r[0] for r in kept} & {4, 5, 6, 7, 11, 12}
 
 
+def test_repeats_are_found_between_windows_of_equal_bits(spark, monkeypatch):
+    # With four bits of the hash left, most equal windows have others between them.
+    monkeypatch.setattr(quality, "PLACE_BITS", 60)
+    texts = [edge.prose(1, 80) + "\nx\n" + edge.prose(1, 80), edge.prose(2, 90), "a b c d a b c x a b c", "a " * 90, None]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r.text: r.counts.n_repeat_words for r in quality.score(docs).collect()}
+    assert got == {t: _counts(t)[4] for t in texts}
+
+
 def test_quality_keeps_columns(spark):
     docs = edge.frame(spark)
     kept = quality.keep(docs)
