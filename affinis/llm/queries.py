@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from affinis.llm import archives, decontamination, jaccard, lines, mixing, quality, rendering, sql, substrings, suffix_tree, tokens
+from affinis.llm import (
+    alignment, archives, decontamination, jaccard, language, lines, mixing, quality, ranking, rendering, sql, substrings, suffix_tree, tokens)
 from affinis.llm.store import fresh
 
 
@@ -76,6 +77,26 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = vocabulary_path("byte_bpe_50k.json"), vocabulary_path("piece_bpe_32k.model")
+    aligned = alignment.align(_table(spark, sf_dir, "documents"), *paths)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return aligned.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranking.build_index(_table(spark, sf_dir, "documents"))
+    return ranking.search(index, _table(spark, sf_dir, "benchmark"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = language.fold(F.col("doc_id"))
+    model = language.learn(docs.where(~language.is_held_out(fold) & F.col("lang").isNotNull()))
+    return language.predict(docs.withColumn("held_out", language.is_held_out(fold)), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -88,4 +109,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_archives": sql.archives(),
         "op10_line_dedup": sql.line_dedup("documents"),
         "op4_quality_rules": sql.quality("documents"),
+        "op12_ranked_search": sql.ranking("documents", "benchmark"),
     }

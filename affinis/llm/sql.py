@@ -214,3 +214,21 @@ def substring_dedup(docs: str) -> str:
     kept AS (SELECT row_no, string_agg(w, ' ' ORDER BY i) AS t, count(*) AS n FROM single ANTI JOIN gone USING (row_no, i) GROUP BY row_no)
     SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(kept.n, 0) AS BIGINT) AS n_removed,
         sha256(coalesce(t, '')) AS kept_sha256 FROM split LEFT JOIN kept USING (row_no)"""
+
+
+def ranking(docs: str, items: str, k: int = 10) -> str:
+    """The k documents of highest score of each item, scored in whole numbers."""
+    terms = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH d AS (SELECT doc_id, {terms} AS t FROM {docs}),
+ k AS (SELECT doc_id, row_number() OVER () AS row_no, t, CAST(len(t) AS BIGINT) AS n FROM d WHERE len(t) > 0),
+ s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM k),
+ q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({terms}) AS term FROM {items})),
+ p AS (SELECT row_no, term, count(*) AS tf FROM (SELECT row_no, unnest(t) AS term FROM k) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+ w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term, docs),
+ m AS (SELECT row_no, doc_id, 10 + (90 * n * docs) // words AS m FROM k, s),
+ scored AS (SELECT item_id, row_no, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (row_no) GROUP BY ALL),
+ ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+  FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= {k}"""

@@ -18,7 +18,7 @@ NOT_ALNUM = bytes(x for x in range(0x80) if not (0x30 <= x <= 0x39 or 0x61 <= x
 
 CHUNK_BYTES = 1 << 21
 _HASH_BYTES = 1 << 20
-_LONG_WORD = 4096
+_LONG_WORD = 64
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
