@@ -28,7 +28,6 @@ import re
 import uuid
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -42,7 +41,7 @@ from affinis.llm.store import settle
 GAMMA = 2.0
 SLICE = 1 << 13
 FAN = 32
-REMEMBER = 160 << 20
+REMEMBER = 256 << 20
 _TOGETHER = 1 << 17
 _TEXTS = 4 << 20
 _U = np.uint64
@@ -204,9 +203,16 @@ class Aligner:
         self.parts = self.a.parts and self.b.parts
 
     def pieces(self, text: str) -> list[str] | None:
-        """Pieces of a space and the text that both tokenizers encode alone as they do together; None: not known to be so."""
+        """Pieces of a space and the text that both tokenizers encode alone as they do together; None: not known to be so.
+
+        A piece that begins with no white space stands for itself behind a space.
+        """
         if not self.parts or OTHER_SPACE.search(text):
             return None
+        # Where no two of them meet, each space parts, and each line feed too once a space stands before it.
+        spaced = " " + text.replace("\n", " \n")
+        if "  " not in spaced and "\n " not in spaced and spaced[-1] not in " \n":
+            return spaced[1:].split(" ")
         return PIECES.findall(" " + text)
 
     def whole(self, text: str) -> Aligned | None:
@@ -214,22 +220,21 @@ class Aligner:
         return self._align(self.a.spaced(text), self.b.spaced(text), np.array([len(text.encode()) + 1]), (" " + text).encode())
 
     def each(self, pieces: list[str]) -> Iterator[tuple[list[str], Aligned | None]]:
-        """Runs of pieces with their alignments, encoded many at a time; None with a piece that a tokenizer doesn't give back."""
-        # White space alone is the end of a text; what follows would change it.
-        alone = [p for p in pieces if p.isspace()]
+        """The pieces in runs with their alignments, encoded many at a time; None with a piece that a tokenizer doesn't give back."""
         run, size = [], 0
         for piece in pieces:
-            if piece.isspace():
-                continue
+            piece = piece if piece[0] in " \n" else " " + piece
+            # White space alone is the end of a text; what follows would change it.
+            if (size > _TOGETHER or piece.isspace()) and run:
+                yield from self._together(run)
+                run, size = [], 0
             run.append(piece)
             size += len(piece)
-            if size > _TOGETHER:
+            if piece.isspace():
                 yield from self._together(run)
                 run, size = [], 0
         if run:
             yield from self._together(run)
-        for piece in alone:
-            yield from self._together([piece])
 
     def _together(self, run: list[str]) -> Iterator[tuple[list[str], Aligned | None]]:
         joined = "".join(run)
@@ -270,20 +275,34 @@ class Aligner:
         return [";".join(groups[s:e]) for s, e in zip(cut, cut[1:])]
 
 
+class _Index(dict):
+    """Numbers of pieces; a new one gets the next number and waits to be aligned."""
+
+    def __init__(self):
+        self.waiting: list[str] = []
+        self.size = 0
+
+    def __missing__(self, piece: str) -> int:
+        self.waiting.append(piece)
+        self[piece] = self.size
+        self.size += 1
+        return self.size - 1
+
+
 class _Memory:
-    """Aligned pieces by number. Piece 0 has no tokens. Lives as long as its worker; what it holds is bounded."""
+    """Aligned pieces by number. Lives as long as its worker; what it holds is bounded."""
 
     def __init__(self, aligner: Aligner, counts: Counts | None = None):
         self.aligner, self.counts = aligner, counts
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.broken: set[str] = set()
-        self.held, self.size = 0, 1
-        self.numbers = {name: array("q", [0]) for name in ("n_a", "n_b", "n_links", "n_best", "count_sum")}
+        self.index = _Index()
+        self.broken: set[int] = set()
+        self.held = self.size = 0
+        self.numbers = {name: array("q") for name in ("n_a", "n_b", "n_links", "n_best", "count_sum")}
         self.link = array("q")
-        self.groups = [""]
+        self.groups: list[str] = []
 
     def add(self, found: Aligned) -> int:
         """The number of the first of these pieces."""
@@ -292,10 +311,13 @@ class _Memory:
         if self.counts is None:
             self.link.frombytes(found.link.tobytes())
             self.held += 8 * len(found.link)
-        else:
+        elif len(found.link):
             count, best = self.counts.find(found.link)
             # Every aligned piece has a link: its end.
             put |= {"count_sum": np.add.reduceat(count, found.at[:-1]), "n_best": np.add.reduceat(best.astype(np.int64), found.at[:-1])}
+        else:
+            put |= {"count_sum": size, "n_best": size}
+        if self.counts is not None:
             self.groups += found.groups
             self.held += sum(map(len, found.groups)) + 60 * len(found.groups)
         for name, values in put.items():
@@ -303,29 +325,35 @@ class _Memory:
         self.size += len(size)
         return self.size - len(size)
 
-    def learn(self, new: list[str]) -> None:
-        for run, found in self.aligner.each(new):
+    def learn(self) -> None:
+        """Aligns the pieces that wait, in the order of their numbers."""
+        waiting, self.index.waiting = self.index.waiting, []
+        for run, found in self.aligner.each(waiting):
             self.held += sum(map(len, run)) + 200 * len(run)
             if found is None:
-                self.broken.update(run)
-                self.index.update(dict.fromkeys(run, 0))
-            else:
-                self.index.update(zip(run, range(self.size, self.size + len(run))))
-                self.add(found)
+                self.broken.add(self.size)
+                found = Aligned(np.zeros(1), np.zeros(1), np.empty(0, np.int64), np.zeros(2, np.int64), [""])
+            self.add(found)
 
-    def of(self, texts: list[str | None]) -> list[list[int]]:
+    def of(self, texts: list[str | None]) -> list[np.ndarray]:
         """For each text, the numbers of its pieces, in order; none where it has no tokens."""
         pieces = [self.aligner.pieces(text) if text else [] for text in texts]
-        new = set().union(*filter(None, pieces)).difference(self.index)
-        if new:
-            self.learn(list(new))
-        find, broken = self.index.__getitem__, self.broken
-        return [self._whole(text) if found is None else [] if broken and not broken.isdisjoint(found) else list(map(find, found))
-                for text, found in zip(texts, pieces)]
-
-    def _whole(self, text: str) -> list[int]:
+        find = self.index.__getitem__
+        out = [np.empty(0, np.int64) if p is None else np.fromiter(map(find, p), np.int64, len(p)) for p in pieces]
+        self.learn()
+        for i, found in enumerate(pieces):
+            if found is None:
+                out[i] = self._whole(texts[i])
+            elif self.broken and not self.broken.isdisjoint(out[i].tolist()):
+                out[i] = np.empty(0, np.int64)
+        return out
+
+    def _whole(self, text: str) -> np.ndarray:
         found = self.aligner.whole(text)
-        return [] if found is None else [self.add(found)]
+        if found is None:
+            return np.empty(0, np.int64)
+        self.index.size += 1
+        return np.array([self.add(found)])
 
 
 _memory: dict[str, _Memory] = {}
@@ -364,14 +392,13 @@ def _count_links(path_a: str, path_b: str):
             total[:] = [(key, sums)]
 
         for batch in _slices(batches):
-            seen = list(chain.from_iterable(memory.of(batch.column("text").to_pylist())))
-            now = np.bincount(np.array(seen, np.int64), minlength=memory.size)
+            now = np.bincount(np.concatenate(memory.of(batch.column("text").to_pylist())), minlength=memory.size)
             now[: len(times)] += times
             times = now
             if memory.held > REMEMBER:
                 put()
                 memory.clear()
-                times = np.zeros(1, np.int64)
+                times = np.zeros(0, np.int64)
         put()
         yield pa.RecordBatch.from_arrays(list(map(pa.array, total[0])), ["key", "n"])
     return run
@@ -435,13 +462,13 @@ def _align(shared, path_a: str, path_b: str, name: str):
         memory = _remembered(path_a, path_b, name, shared.value)
         for batch in _slices(batches):
             rows = memory.of(batch.column("text").to_pylist())
-            flat = np.array(list(chain.from_iterable(rows)), np.int64)
+            flat = np.concatenate(rows)
             ends = np.concatenate([[0], np.cumsum([len(row) for row in rows])]).astype(np.int64)
             columns = {}
             for column, values in memory.numbers.items():
                 sums = np.concatenate([[0], np.cumsum(np.frombuffer(values, np.int64)[flat])])
                 columns[column] = pa.array(np.diff(sums[ends]))
-            groups = pa.array([";".join(map(memory.groups.__getitem__, row)) for row in rows], pa.string())
+            groups = pa.array([";".join(map(memory.groups.__getitem__, row.tolist())) for row in rows], pa.string())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), columns["n_a"], columns["n_b"], columns["n_links"], columns["n_links"], columns["n_best"], columns["count_sum"], groups],
                 ["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"])
