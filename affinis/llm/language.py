@@ -184,7 +184,7 @@ def learn(
     """The trees of all languages of these rows, which must all be meant for learning."""
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     size = F.octet_length("text")
-    sizes = rows.groupBy("lang").agg(F.sum(size).alias("bytes")).select("lang", (F.lit(float(sample_bytes)) / F.greatest("bytes", F.lit(1))).alias("rate"))
+    sizes = settle(rows.groupBy("lang").agg(F.sum(size).alias("bytes")).select("lang", (F.lit(float(sample_bytes)) / F.greatest("bytes", F.lit(1))).alias("rate")), "language-sizes")
     drawn = F.pmod(F.xxhash64("lang", "text"), F.lit(1 << 30)) < F.col("rate") * (1 << 30)
     # A document as long as the sample would be all of it.
     sample = rows.join(sizes, "lang").where((drawn & (size <= sample_bytes)) | (F.col("rate") >= 1))
@@ -244,18 +244,16 @@ def _predict(shared, name: str):
         memory = _memory[name]
         languages = memory.model.languages
         for batch in batches:
-            at = batch.num_columns - 2
-            for first, _, offsets in W.chunks(batch.column(at), _TEXTS):
+            for first, _, offsets in W.chunks(batch.column("text"), _TEXTS):
                 rows = batch.slice(first, len(offsets) - 1)
-                texts = rows.column(at).cast(pa.binary()).to_pylist()
-                asked = rows.column(at + 1).to_numpy(zero_copy_only=False)
+                texts = rows.column("text").cast(pa.binary()).to_pylist()
+                asked = rows.column("asked").to_numpy(zero_copy_only=False)
                 bits = memory.of([words(t) if a and t else [] for t, a in zip(texts, asked)])
                 best = np.argmin(bits, axis=1)
                 score = 1 / np.exp2(bits[np.arange(len(best)), best][:, None] - bits).sum(axis=1)
                 pred = [languages[b] if a else UNKNOWN for b, a in zip(best, asked)]
-                columns = [rows.column(i) for i in range(at)]
                 yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(pred, pa.string()), pa.array(np.where(asked, score, 0.0))], [*rows.schema.names[:at], "lang_pred", "score"])
+                    [rows.column("row"), pa.array(pred, pa.string()), pa.array(np.where(asked, score, 0.0))], ["row", "lang_pred", "score"])
                 if len(memory.index) > REMEMBER:
                     memory.clear()
     return run
@@ -267,7 +265,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     letter = F.regexp_like(named(text_col), F.lit(r"\p{L}"))
     if not model.languages:
         return docs.select(*map(named, keep), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    rows = docs.select(*map(named, keep), named(text_col).alias("text to code"), F.coalesce(letter, F.lit(False)).alias("asked"))
-    schema = StructType([docs.schema[c] for c in keep]).add("lang_pred", StringType()).add("score", DoubleType())
+    # The columns that stay travel as one, whatever their names.
+    rows = docs.select(F.struct(*map(named, keep)).alias("row"), named(text_col).alias("text"), F.coalesce(letter, F.lit(False)).alias("asked"))
+    schema = StructType([rows.schema["row"]]).add("lang_pred", StringType()).add("score", DoubleType())
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(_predict(shared, uuid.uuid4().hex), schema)
+    return rows.mapInArrow(_predict(shared, uuid.uuid4().hex), schema).select("row.*", "lang_pred", "score")
