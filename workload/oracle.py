@@ -78,6 +78,28 @@ PARTS: dict[str, str] = {
             UNION ALL SELECT 'part ' || CAST(p_partkey AS VARCHAR) FROM part) GROUP BY name""",
 }
 
+PARTS["after_0"] = "SELECT id, name, score, votes FROM items"
+for _k in range(5):
+    PARTS[f"upserts_{_k}"] = f"""
+        SELECT id, name, score, votes FROM (
+            SELECT *, row_number() OVER (PARTITION BY id ORDER BY version DESC) AS r FROM changes WHERE id % 7 = {_k}) WHERE r = 1"""
+    PARTS[f"upserted_{_k}"] = f"""
+        SELECT * FROM after_{_k} WHERE id NOT IN (SELECT id FROM upserts_{_k}) UNION ALL SELECT * FROM upserts_{_k}"""
+    PARTS[f"after_{_k + 1}"] = f"""
+        SELECT id, coalesce(s_name || ' patched', name) AS name, score, votes
+        FROM upserted_{_k} LEFT JOIN supplier ON s_suppkey * 45 = id AND s_suppkey % 5 = {_k}
+        WHERE id NOT IN (SELECT s_suppkey * 70 FROM supplier WHERE s_suppkey % 5 = {_k})"""
+PARTS["own_delivery"] = "SELECT *, least((day(ts) - 1) // 10, 2) AS own FROM inter"
+PARTS["delivered"] = """
+    SELECT event_id, user_id, item_id, rating, ts, CASE WHEN event_id % 20 = 7 THEN least(own + 1, 2) ELSE own END AS b FROM own_delivery
+    UNION ALL SELECT event_id, user_id, item_id, rating, ts, own + 1 FROM own_delivery WHERE event_id % 6 = 1 AND own < 2"""
+PARTS["marks"] = """
+    SELECT b AS of, (SELECT max(ts) FROM delivered x WHERE x.b < k.b) - INTERVAL 3 DAY AS mark FROM (SELECT DISTINCT b FROM delivered) k"""
+PARTS["late_or_not"] = "SELECT delivered.*, mark, coalesce(ts < mark, false) AS late FROM delivered JOIN marks ON b = of"
+PARTS["fates"] = """
+    SELECT *, CASE WHEN late THEN 'late' WHEN row_number() OVER (PARTITION BY event_id, late ORDER BY b) = 1 THEN 'kept' ELSE 'repeated' END AS fate
+    FROM late_or_not"""
+
 
 def _features(source: str, order: str, carried: str) -> str:
     """History and running figures over a sample table."""
@@ -312,6 +334,19 @@ SQL: dict[str, str] = {
             SELECT doc_id, substr(words, 1, instr(words, ' of the by') - 1) AS h FROM (
                 SELECT doc_id, {WORDS.format(text='text')} AS words FROM documents)
             WHERE contains(words, ' of the by'))""",
+    "documents_after_changes": "SELECT id, name, round(score, 6) AS score, votes FROM after_5",
+    "bucket_point_read": "SELECT id, name, round(score, 6) AS score, votes FROM items WHERE id IN (SELECT id FROM changes)",
+    "split_point_daily": """
+        SELECT count(*) AS n, count(DISTINCT (event_id % 3, ts::DATE)) AS sketches, true AS within_error FROM training""",
+    "stream_fates": """
+        SELECT b AS batch_id, count(*) AS given, count(*) FILTER (fate = 'kept') AS kept, count(*) FILTER (fate = 'late') AS late,
+               count(*) FILTER (fate = 'repeated') AS repeated, epoch_us(min(mark)) AS watermark_us, epoch_us(max(ts) FILTER (fate = 'kept')) AS last_us
+        FROM fates GROUP BY b""",
+    "stream_late_rows": "SELECT b AS batch_id, event_id, user_id, item_id, rating, epoch_us(ts) AS ts_us FROM fates WHERE fate = 'late'",
+    "stream_state_features": f"""
+        SELECT user_id, {RATED}, {STATS}, epoch_us(ts) AS last_us FROM (
+            SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM plain_features)
+        WHERE r = 1""",
     "item_detail": """
         SELECT k.id, i.id IS NOT NULL AS found, i.name,
                CASE WHEN i.id IS NOT NULL THEN 'brand=' || p_brand || ';size=' || CAST(p_size AS VARCHAR) || ';type=' || p_type END AS info
@@ -378,5 +413,9 @@ SQL: dict[str, str] = {
 }
 
 
+# From the index as from the scan.
+SQL |= {f"{name}_indexed": SQL[name] for name in ("search", "suggest", "text_matches")}
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: statement(sql) for name, sql in SQL.items()}

@@ -22,8 +22,12 @@ from affinis.operators import (
 from affinis.operators.latest import latest_per_key
 from affinis.plans import features as feature_plan, recommend as rec
 from affinis.session import settled, shared_path
+from affinis.operators.day_sketches import DaySketches
+from affinis.operators.text_index import TextIndex
 from affinis.sources import collections, embedding_text, index, keyvalue, samples_csv
-from affinis.streaming import refresh
+from affinis.sources.buckets import BucketTable
+from affinis.streaming import refresh, user_state
+from affinis.streaming.fates import CountedIngest
 from affinis.streaming.revisions import RevisionTable
 from workload import tables as t
 
@@ -266,6 +270,21 @@ def split_point_sketch(spark, d):
     return share.select(((F.col("below") <= settings.TRAIN_SHARE + e) & (F.col("upto") >= settings.TRAIN_SHARE - e)).alias("within_error"))
 
 
+@query
+def split_point_daily(spark, d):
+    """The split point from stored sketches of three batches of samples, and whether it lies within the error."""
+    rows = settled(training(spark, d).select("event_id", "ts"))
+    sketches = DaySketches(spark, shared_path(spark, "sketches"))
+    for k in range(3):
+        sketches.add(rows.where(F.col("event_id") % 3 == k), "ts", k)
+    at = sketches.split_point(settings.TRAIN_SHARE)
+    below = F.avg((F.unix_millis("ts") < F.col("split_at")).cast("double"))
+    upto = F.avg((F.unix_millis("ts") <= F.col("split_at")).cast("double"))
+    e = settings.SPLIT_ERROR / 2
+    return rows.join(at).groupBy("n", "sketches").agg(
+        ((below <= settings.TRAIN_SHARE + e) & (upto >= settings.TRAIN_SHARE - e)).alias("within_error"))
+
+
 @query
 def train_csv(spark, d):
     """The exported train files read back."""
@@ -567,6 +586,39 @@ def text_matches(spark, d):
     return search.matches(docs, "of the by", "text").select("doc_id", "match_at")
 
 
+def _text_index(spark, rows, key, name, buckets=8):
+    found = TextIndex(spark, shared_path(spark, "text-index"), buckets=buckets)
+    found.create(rows, key, name)
+    return found
+
+
+def _changed_index(spark, d):
+    """An index of wrong names of every third item, and of the others' own, into which the right ones are brought, and one item too much, which goes."""
+    items = t.items(spark, d).select("id", "api.name_cn")
+    wrong = F.when(F.col("id") % 3 == 0, F.concat(F.lit("small ring "), F.col("id").cast("string"))).otherwise(F.col("name_cn"))
+    more = spark.range(1).select(F.lit(-1).cast("long").alias("id"), F.lit("small ring of nobody").alias("name_cn"))
+    found = _text_index(spark, items.withColumn("name_cn", wrong).unionByName(more), "id", "name_cn")
+    found.update(items.where("id % 3 = 0"), more, "id", "name_cn")
+    return found
+
+
+@query
+def search_indexed(spark, d):
+    """The same page from a positional index that has taken changes."""
+    return _changed_index(spark, d).page(t.items(spark, d), "Small ri").select("id", "name", "match_at")
+
+
+@query
+def suggest_indexed(spark, d):
+    return _changed_index(spark, d).suggest(t.items(spark, d), "r")
+
+
+@query
+def text_matches_indexed(spark, d):
+    found = _text_index(spark, t.read(spark, d, "documents"), "doc_id", "text")
+    return found.matches("of the by").withColumnRenamed("id", "doc_id")
+
+
 @query
 def item_detail(spark, d):
     asked = t.supplier_changes(spark, d).select("id")
@@ -603,6 +655,27 @@ def delete(spark, d):
     return index.delete(_documents(spark, d), t.supplier_changes(spark, d)).select("id", "name", *six("score"), "votes")
 
 
+@query
+def documents_after_changes(spark, d):
+    """Five batches of whole documents, fields and deletions, each of which rewrites only the buckets it touches."""
+    table = BucketTable(spark, shared_path(spark, "documents"), _documents(spark, d).schema, buckets=16)
+    table.create(_documents(spark, d))
+    changes, ids = t.supplier_changes(spark, d), t.read(spark, d, "supplier").select("s_suppkey", "s_name")
+    for k in range(5):
+        mine = ids.where(F.col("s_suppkey") % 5 == k)
+        patches = mine.select((F.col("s_suppkey") * 45).alias("id"), F.concat("s_name", F.lit(" patched")).alias("name"), F.lit(k).alias("version"))
+        table.change(changes.where(F.col("id") % 7 == k), patches, mine.select((F.col("s_suppkey") * 70).alias("id")), version="version")
+    return table.read().select("id", "name", *six("score"), "votes")
+
+
+@query
+def bucket_point_read(spark, d):
+    """Documents of some ids, read from their buckets alone."""
+    table = BucketTable(spark, shared_path(spark, "documents"), _documents(spark, d).schema, buckets=64)
+    table.create(_documents(spark, d))
+    return table.of_keys(t.supplier_changes(spark, d)).select("id", "name", *six("score"), "votes")
+
+
 @query
 def get_by_id(spark, d):
     return index.get(_documents(spark, d), t.supplier_changes(spark, d)).select("id", "name", *six("score"), "votes")
@@ -872,5 +945,50 @@ def stream_refresh(spark, d):
     return _refreshed(spark, d, refresh.LISTS, recompute).select("user_id", "item_id", "rank")
 
 
+def _deliveries(spark, d):
+    """Interactions in three deliveries by time: one in twenty comes with the next, one in six again with the next."""
+    rows = t.interactions(spark, d)
+    own = F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2))
+    first = F.when(F.col("event_id") % 20 == 7, F.least(own + 1, F.lit(2))).otherwise(own)
+    for k in range(3):
+        yield rows.where(first == k).unionByName(rows.where((F.col("event_id") % 6 == 1) & (own + 1 == k)))
+
+
+@query
+def stream_fates(spark, d):
+    """How many rows of each batch were kept, late or repeated; the stream starts anew from its checkpoint for each delivery."""
+    ingest, path = _counted(spark, d)
+    us = [micros(c, n) for c, n in (("watermark", "watermark_us"), ("last_ts", "last_us"))]
+    return ingest.counts.all().select("batch_id", "given", "kept", "late", "repeated", *us)
+
+
+def _counted(spark, d):
+    path = shared_path(spark, "counted")
+    ingest = CountedIngest(spark, f"{path}/tables", refresh.INTERACTIONS, delay="3 days")
+    for part in _deliveries(spark, d):
+        part.write.mode("append").parquet(f"{path}/incoming")
+        ingest.start(refresh.read(spark, f"{path}/incoming", refresh.INTERACTIONS), f"{path}/checkpoint").awaitTermination()
+    return ingest, path
+
+
+@query
+def stream_late_rows(spark, d):
+    """The rows that came too late, with the batch they came in."""
+    return _counted(spark, d)[0].late.all().select("batch_id", "event_id", "user_id", "item_id", "rating", micros("ts", "ts_us"))
+
+
+@query
+def stream_state_features(spark, d):
+    """Running figures and last liked items of users from state alone, over three deliveries with a restart before each."""
+    path = shared_path(spark, "state")
+    table = RevisionTable(spark, f"{path}/features", user_state.FEATURES)
+    for part in _deliveries(spark, d):
+        part.write.mode("append").parquet(f"{path}/incoming")
+        # Deliveries overlap in time, and here no event counts as late.
+        stream = refresh.ingest(refresh.read(spark, f"{path}/incoming", refresh.INTERACTIONS), delay="36500 days")
+        user_state.keep_state_features(stream, table, f"{path}/checkpoint").awaitTermination()
+    return table.latest("user_id").select("user_id", *RATED, *stats(), micros("last_ts", "last_us"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
