@@ -46,6 +46,7 @@ PARTS: dict[str, str] = {
               FROM events GROUP BY user_id, event_type)
         GROUP BY user_id""",
     "item_emb": "SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS emb FROM embeddings",
+    "item_numbers": "SELECT id, unnest(emb) AS v, generate_subscripts(emb, 1) AS pos FROM item_emb",
     "user_sizes": "SELECT user_id, count(*) AS n FROM inter GROUP BY user_id",
     "user_dims": """
         SELECT user_id, pos, sum(v) AS s FROM (
@@ -347,6 +348,27 @@ SQL: dict[str, str] = {
         SELECT user_id, {RATED}, {STATS}, epoch_us(ts) AS last_us FROM (
             SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM plain_features)
         WHERE r = 1""",
+    "recall_tiles": "SELECT user_id, item_id, score, rank FROM recalled WHERE rank <= 50",
+    "similar_items_tiles": """
+        SELECT id, similar_id, score, rank FROM (
+            SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, similar_id) AS rank FROM (
+                SELECT a.id, b.id AS similar_id, round(list_cosine_similarity(a.emb, b.emb), 6) AS score
+                FROM item_emb a, item_emb b WHERE a.id <> b.id)) WHERE rank <= 20""",
+    "find_all": "SELECT id, name, round(score, 6) AS score, votes, 4 AS n_tags FROM items",
+    "vector_sums": """
+        SELECT a.id, CAST(a.pos - 1 AS INTEGER) AS pos, round(a.v + 0.5::DOUBLE * b.v, 6) AS value
+        FROM item_numbers a JOIN item_numbers b ON b.id = a.id + 1 AND b.pos = a.pos""",
+    "recall_catalogue": """
+        SELECT user_id, item_id, score, r AS rank FROM (
+            SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS r FROM recalled
+            WHERE item_id % 3 = 0 AND item_id IN (SELECT id FROM items)) WHERE r <= 50""",
+    "recommend_stored": """
+        SELECT user_id, item_id, 51 - rank AS rank, 'stored' AS source FROM recalled WHERE rank <= 50 AND user_id % 4 = 0
+        UNION ALL SELECT user_id, item_id, rank, 'scored' FROM recalled WHERE rank <= 100 AND user_id % 4 <> 0
+        UNION ALL SELECT user_id, id, rank, 'popular' FROM cold, popular WHERE rank <= 100""",
+    **{f"{name}_lists": """
+        SELECT id AS user_id, 'scored' AS source, 20 AS n, 1 AS first_rank, 20 AS last_rank, 20 AS items, 0 AS collected, 0 AS unknown FROM user_emb
+        UNION ALL SELECT user_id, 'popular', 20, 1, 20, 20, 0, 0 FROM cold""" for name in ("recommend_wide_deep", "recommend_neural_cf")},
     "item_detail": """
         SELECT k.id, i.id IS NOT NULL AS found, i.name,
                CASE WHEN i.id IS NOT NULL THEN 'brand=' || p_brand || ';size=' || CAST(p_size AS VARCHAR) || ';type=' || p_type END AS info

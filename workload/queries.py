@@ -24,6 +24,7 @@ from affinis.plans import features as feature_plan, recommend as rec
 from affinis.session import settled, shared_path
 from affinis.operators.day_sketches import DaySketches
 from affinis.operators.text_index import TextIndex
+from affinis.operators.tiles import top_k_tiles
 from affinis.sources import collections, embedding_text, index, keyvalue, samples_csv
 from affinis.sources.buckets import BucketTable
 from affinis.streaming import refresh, user_state
@@ -477,6 +478,23 @@ def recall_topk_distributed(spark, d):
     return rows.select("user_id", "item_id", "score", "rank")
 
 
+@query
+def recall_catalogue(spark, d):
+    """Recall among the items of a catalogue only."""
+    catalogue = collections.catalogue(t.items(spark, d)).where("item_id % 3 = 0")
+    rows = rec.recall(user_emb(spark, d), t.item_emb(spark, d), 50, t.interactions(spark, d), catalogue=catalogue)
+    return rows.select("user_id", "item_id", "score", "rank")
+
+
+@query
+def vector_sums(spark, d):
+    """Each item's vector plus half of the next one's, number by number."""
+    rows = t.item_emb(spark, d)
+    after = rows.select((F.col("id") - 1).alias("id"), F.col("emb").alias("next"))
+    mixed = vectors.add(F.col("emb"), vectors.scale(F.col("next"), F.lit(0.5)))
+    return rows.join(after, "id").select("id", F.posexplode(mixed).alias("pos", "value")).select("id", "pos", *six("value"))
+
+
 @query
 def similar_items(spark, d):
     return rec.similar_items(t.item_emb(spark, d))
@@ -487,6 +505,20 @@ def similar_items_page(spark, d):
     return lists.page_or_all(rec.similar_items(t.item_emb(spark, d)), "id", 5, 10).select("id", "similar_id", "rank")
 
 
+@query
+def recall_tiles(spark, d):
+    """Recall tile by tile; items already collected are masked where they are scored."""
+    own = t.interactions(spark, d).select(F.col("user_id").alias("query_id"), "item_id")
+    rows = top_k_tiles(user_emb(spark, d), t.item_emb(spark, d), 50, exclude=own, tile_rows=64, pack_rows=64)
+    return rows.withColumnRenamed("query_id", "user_id")
+
+
+@query
+def similar_items_tiles(spark, d):
+    rows = top_k_tiles(t.item_emb(spark, d), t.item_emb(spark, d), 20, exclude_self=True, tile_rows=32, pack_rows=64)
+    return rows.select(F.col("query_id").alias("id"), F.col("item_id").alias("similar_id"), "score", "rank")
+
+
 @query
 def similar_users(spark, d):
     return rec.similar_users(user_emb(spark, d))
@@ -508,6 +540,18 @@ def recommend(spark, d):
     return page.select("user_id", "item_id", "rank", "total", "has_more")
 
 
+@query
+def recommend_stored(spark, d):
+    """Users whose number is even have a stored list, the own one backwards; that of every other of them is too old."""
+    inputs = _inputs(spark, d)
+    now = t.interactions(spark, d).agg(F.max("ts").alias("now")).scalar()
+    made = F.when(F.col("user_id") % 4 == 0, now).otherwise(now - F.expr(f"INTERVAL {settings.RECOMMENDATION_TTL_SECONDS} SECONDS"))
+    own = recalled(spark, d, 50).where("user_id % 2 = 0").withColumn("rank", 51 - F.col("rank"))
+    stored = settled(rec.to_store(own, "emb", made))
+    rows = rec.recommend_lists(t.all_users(spark, d), "emb", stored=stored, as_of=now, max_size=100, **inputs)
+    return rows.select("user_id", "item_id", "rank", "source")
+
+
 @query
 def recommend_unknown_model(spark, d):
     page = rec.recommend(t.all_users(spark, d), "none", 20, 20, **_inputs(spark, d))
@@ -558,6 +602,14 @@ def fresh_recs(spark, d):
     return lists.fresh(stored, as_of, settings.RECOMMENDATION_TTL_SECONDS).select("user_id", "item_id", "rank")
 
 
+@query
+def find_all(spark, d):
+    """Every document of a stored collection."""
+    path, documents = shared_path(spark, "collection"), t.items(spark, d).select("id", "name", "score", "votes", "tags")
+    documents.write.parquet(path)
+    return collections.find_all(spark, path, schema=documents.schema).select("id", "name", *six("score"), "votes", F.size("tags").alias("n_tags"))
+
+
 @query
 def find_one(spark, d):
     return collections.find_one(t.items(spark, d), F.col("id") == 0).select("id", "name")
@@ -888,6 +940,28 @@ def recommend_neural_cf(spark, d):
     )
 
 
+def _list_facts(spark, d, page):
+    """What holds of each user's page whatever the model learned."""
+    own = t.interactions(spark, d).select("user_id", "item_id", F.lit(1).alias("own")).distinct()
+    known = t.item_emb(spark, d).select(F.col("id").alias("item_id"), F.lit(1).alias("known"))
+    popular = t.items(spark, d).select(F.col("id").alias("item_id"), F.lit(1).alias("listed"))
+    rows = settled(page.select("user_id", "item_id", "rank", "source"))
+    rows = rows.join(own, ["user_id", "item_id"], "left").join(known, "item_id", "left").join(popular, "item_id", "left")
+    return rows.groupBy("user_id", "source").agg(
+        F.count("*").alias("n"), F.min("rank").alias("first_rank"), F.max("rank").alias("last_rank"), F.count_distinct("item_id").alias("items"),
+        F.count("own").alias("collected"), F.count_if(F.coalesce("known", "listed").isNull()).alias("unknown"))
+
+
+@query
+def recommend_wide_deep_lists(spark, d):
+    return _list_facts(spark, d, recommend_wide_deep(spark, d))
+
+
+@query
+def recommend_neural_cf_lists(spark, d):
+    return _list_facts(spark, d, recommend_neural_cf(spark, d))
+
+
 # Streaming -------------------------------------------------------------------
 
 
