@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from affinis import settings
 from affinis.operators import pieces
+from affinis.session import settled
 
 
 def item_sequences(
@@ -72,6 +73,8 @@ def train_item2vec(
     iteration; by default it follows the number of sequences. The vocabulary is
     the catalogue, not the interactions.
     """
+    # Counted, then read by each pass.
+    sequences = settled(sequences.select(column))
     partitions = partitions or shards(sequences.count())
     return Word2Vec(
         vectorSize=size,

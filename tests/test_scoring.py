@@ -104,3 +104,12 @@ def test_plans_hold_no_cross_join(spark):
         plan = top_k_cosine(i, i, 3, exclude_self=True, **sizes)._jdf.queryExecution().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert F
+
+
+def test_long_top_lists_are_cut_before_the_shuffle(spark):
+    from affinis.operators.latest import top_rows
+
+    rows = spark.range(20_000).select((F.col("id") % 3).alias("key"), "id")
+    top = top_rows(rows, "key", [F.col("id").desc()], 5000)
+    assert top._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 2
+    assert top.groupBy("key").count().where("count = 5000").count() == 3

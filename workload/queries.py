@@ -835,9 +835,8 @@ def _model_frames(spark, d):
     what it is tested on.
     """
     rows = settled(training(spark, d))
-    tags = samples.explode_collects(collections.user_columns(t.user_docs(spark, d))).select(
-        "user_id", *encoders.USER_TAGS
-    ).distinct()
+    # One row a user: the tags come from the documents, not from each collected entry.
+    tags = t.user_tags(spark, d).select("user_id", *[F.get("tags", F.lit(i))["name"].alias(c) for i, c in enumerate(encoders.USER_TAGS)])
     rows = rows.join(tags, "user_id", "left")
     train, test = samples.split_by_time(rows, error=0.0)
     end = train.agg(F.max("ts")).first()[0]
