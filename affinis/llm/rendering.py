@@ -4,8 +4,8 @@ A small tree builder (implied end tags, void and raw-text elements, stray end ta
 renderer that emits every visible text: blocks on lines of their own with blank lines where browsers leave
 space, list markers with indents, preformatted text as it is, table cells aligned in columns. Hidden are
 scripts, styles, head matter, fallbacks, closed details and dialogs, the ``hidden`` attribute, and
-``display:none`` or ``visibility:hidden`` by style attribute or by plain rules of the page's own style sheet that
-hold on every screen: rules for print or under conditions (widths, preferences) hide nothing. Of drawings the text
+``display:none`` or ``visibility:hidden`` by style attribute or by rules of the page's own style sheets that
+hold on every screen, where no stronger rule shows it again (``cascade``): rules for print or under conditions (widths, preferences) hide nothing. Of drawings the text
 elements are emitted, each on lines of its own; definitions and what ``use`` repeats of them are not.
 
 Pages are independent: one pass, no shuffle, memory bounded by a page. Elements nested deeper than
@@ -25,15 +25,18 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from affinis.llm.cascade import Sheet, declarations
+
 MAX_DEPTH = 150
 MAX_COLUMN = 60
 MAX_SPAN = 100
 
+# Element lists of the public HTML rules. Fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 UNSEEN = frozenset(
     "head title script style template noscript iframe noembed noframes object audio video canvas datalist base link meta param "
-    "source track area".split())
+    "source track area rp".split())
 #: Blocks with a blank line around them, and blocks on lines of their own.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure fieldset hr menu".split())
 BLOCKS = SPACED | frozenset(
@@ -66,10 +69,10 @@ SPACE = re.compile(r"[ \t\n\f\r]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "parent")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children = tag, attrs, []
+        self.tag, self.attrs, self.children, self.parent = tag, attrs, [], None
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -183,10 +186,9 @@ def build(html: str) -> Node:
     return root
 
 
-def _hiding(style: str) -> str:
-    """What a list of declarations says: "none", "hidden", "visible" or nothing."""
-    style = style.replace(" ", "").lower()
-    return "none" if "display:none" in style else "hidden" if re.search("visibility:(hidden|collapse)", style) else "visible" if "visibility:visible" in style else ""
+def _plain(style: str) -> str:
+    """A style attribute without comments and strings."""
+    return CSS.sub(lambda m: m[0] if m[0] in "{};" else "" if m[0].startswith("/*") else '""', style)
 
 
 def _any_screen(media: str) -> bool:
@@ -242,24 +244,25 @@ def _rules(css: str) -> Iterator[tuple[str, str]]:
             yield selectors, "".join(body)
 
 
-def _sheets(root: Node) -> dict[str, str]:
-    """Plain rules (tag, .class, #id, tag.class) of the page's style sheets that hide something."""
-    found: dict[str, str] = {}
-    nodes = [root]
+def _sheets(root: Node) -> Sheet:
+    """The rules of the page's style sheets in their order; elements learn what they lie within."""
+    found, nodes = Sheet(), [root]
     while nodes:
         node = nodes.pop()
         if node.tag == "style" and _any_screen(node.attrs.get("media", "")):
-            for selectors, body in _rules("".join(node.children)):
-                if says := _hiding(body):
-                    found.update((s.strip(), says) for s in selectors.split(",") if re.fullmatch(r"[\w-]*[.#]?[\w-]+", s.strip()))
-        nodes.extend(c for c in node.children if not isinstance(c, str))
+            for selectors, body in _rules("".join(c for c in node.children if isinstance(c, str))):
+                found.add(selectors, body)
+        inner = [c for c in node.children if not isinstance(c, str)]
+        for child in inner:
+            child.parent = node
+        nodes.extend(reversed(inner))
     return found
 
 
 class Page:
     """Lines under way: inline text is gathered until a block ends it."""
 
-    def __init__(self, sheet: dict[str, str]):
+    def __init__(self, sheet: Sheet):
         self.sheet, self.lines, self.now = sheet, [], []
         self.indent, self.marker, self.gap = "", "", 0
 
@@ -294,21 +297,20 @@ class Page:
         self.end_line()
         self.gap = max(self.gap, int(spaced))
 
-    def says(self, node: Node) -> str:
+    def says(self, node: Node, given: str = "") -> str:
+        """"none", "hidden", "visible" or nothing; ``given`` are declarations that any rule outweighs."""
         a = node.attrs
-        if node.tag in UNSEEN or "hidden" in a or (node.tag == "input" and a.get("type") not in ("submit", "button", "reset")):
+        if node.tag in UNSEEN or (node.tag == "input" and a.get("type") not in ("submit", "button", "reset")):
             return "none"
-        if node.tag == "dialog" and "open" not in a:
+        said = self.sheet.says(node, _plain(a["style"]) if "style" in a else "")
+        if given:
+            said = {name: value for name, (value, _) in declarations(given).items()} | said
+        # What rules say of display outweighs what the element itself does.
+        closed = "hidden" in a or node.tag == "dialog" and "open" not in a
+        if said.get("display", "revert" if closed else "") in ("none", *(("revert", "revert-layer") if closed else ())):
             return "none"
-        if not a and not self.sheet:
-            return ""
-        out = ""
-        if self.sheet:
-            keys = [node.tag, *(p + c for c in a.get("class", "").split() for p in (".", node.tag + "."))]
-            keys += [p + a["id"] for p in ("#", node.tag + "#")] if "id" in a else []
-            for key in keys:
-                out = self.sheet.get(key, out)
-        return _hiding(a["style"]) or out if "style" in a else out
+        shown = said.get("visibility", "")
+        return "hidden" if shown in ("hidden", "collapse") else "visible" if shown in ("visible", "initial") else ""
 
     def walk(self, node: Node, seen: bool = True, pre: bool = False) -> None:
         order = 0
@@ -361,7 +363,7 @@ class Page:
                     self.text(child, False)
                 continue
             a = child.attrs
-            says = self.says(child) or _hiding(f"display:{a.get('display', '')};visibility:{a.get('visibility', '')}")
+            says = self.says(child, f"display:{a.get('display', '')};visibility:{a.get('visibility', '')}")
             if says == "none" or child.tag in UNDRAWN:
                 continue
             shown = seen if not says else says == "visible"
