@@ -16,7 +16,8 @@ at a rate that makes about ``SAMPLE_BYTES`` (all of them where the language has
 highest counts are kept, ``MOST_NODES`` at most, which bounds what the driver reads and what is broadcast. Everything else covers all rows
 and whole texts.
 
-At scale: one scan adds up bytes by language (a row a language is shuffled by each task), one counts the sample, summed in each task, and one scan codes
+At scale: one scan adds up bytes by language (a row a language is shuffled by each task) and stores the sums, whose measured size then lets
+Spark join them without moving a text; one counts the sample, summed in each task, and one scan codes
 every text in the task that reads it, without a shuffle.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, as is everything where no language was
