@@ -10,7 +10,7 @@ ROOT = pathlib.Path(__file__).resolve().parent.parent
 # Slow ones run in the driver's check and in oracle_check.py.
 SLOW = {
     "wide_deep", "embedding_mlp", "ncf", "deepfm", "two_tower", "model_metrics", "shown_predictions",
-    "recommend_wide_deep", "recommend_neural_cf",
+    "recommend_wide_deep", "recommend_neural_cf", "recommend_wide_deep_lists", "recommend_neural_cf_lists",
 }
 
 
@@ -44,6 +44,9 @@ def test_library_does_not_gather_data():
         ("scoring.py", ".collect()"): 2,
         ("scoring.py", ".toPandas()"): 1,
         ("encoders.py", ".collect()"): 1,
+        # At most MAX_TILES pivots and as many sizes; at most MAX_PIVOTS pivots.
+        ("tiles.py", ".collect()"): 2,
+        ("neighbour_graph.py", ".collect()"): 1,
         # One number per bucket.
         ("revisions.py", ".collect()"): 1,
     }
