@@ -8,13 +8,15 @@ the record, ISO timestamps, record types, block and payload digests, and revisit
 Archives are written by Spark's text writer, one record per row with the format's own separator, and read as
 binary files, so any file system that Spark knows will do. File sizes are bounded by the number of parts, which
 follows the bytes. Equal payloads are found by digest: sums before the shuffle, digests that very many records
-share broadcast (at most ``HOT_GROUPS`` of them), other records joined by digest.
+share broadcast (at most ``HOT_GROUPS`` of them), other records joined by digest. Pages are dealt over the parts by
+their number in the scan too, so rows that are equal, or have neither id nor url, do not gather in one file.
 
 Defined results: a null payload is empty, a null url is ``about:blank`` (white space and controls in a url are
 percent-encoded); a record without id has a null id, and counts as smaller than all others. Repeated rows are
 separate records with one identifier. An empty table writes version blocks only and reads back empty. A header
 line that cannot be parsed is skipped up to the next line; a record cut off by the end of its file is kept with
-what is there and marked truncated.
+what is there and marked truncated. HTTP heads are bytes and pass through in any encoding. Ids are whole numbers;
+an id column of another kind is refused. A page whose url looks like a version block's is an ordinary record.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegralType
 
 from affinis.llm.store import settle
 
@@ -41,6 +44,8 @@ FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
+#: Fixed value of the ARC format: a version block is its version, a flag and who wrote it, then the names of the fields.
+VERSION_BLOCK = re.compile(rb"(\d+) \d+ [^\n]*\nURL ")
 #: Fixed value of the WARC format: what a revisit by equal digest is called.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -62,9 +67,11 @@ def _write(rows: DataFrame, path: str, separator: str) -> None:
 def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
               part_bytes: int = PART_BYTES) -> None:
     """ARC files of ``pages``; parts alternate between the two versions."""
+    if not isinstance(pages.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must hold whole numbers")
     rows = pages.select(
         F.col(id_col).alias("page_id"), F.coalesce(F.col(html_col), F.lit("")).alias("payload"),
-        F.coalesce(F.col(url_col), F.lit("")).alias("url"))
+        F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.monotonically_increasing_id().alias("row_no"))
     parts = 1 + (rows.agg(F.sum(F.octet_length("payload") + 300)).first()[0] or 0) // part_bytes
     url = F.col("url")
     for code in (*range(0x21), 0x7F):
@@ -75,7 +82,7 @@ def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str
     line = F.when(F.col("part") % 2 == 0, F.concat_ws(" ", *head, length)).otherwise(F.concat_ws(
         " ", *head, F.lit("200"), F.concat(F.lit("sha1:"), F.sha1("payload")), F.lit("-"), F.lit("0"),
         F.concat(F.lit("part-"), F.col("part").cast("string"), F.lit(".arc")), length))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.lit(parts)).cast("int")).withColumn("block", block)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("page_id", "url", "row_no"), F.lit(parts)).cast("int")).withColumn("block", block)
     rows = rows.select("part", F.lit(1).alias("kind"), "page_id", F.concat(line, F.lit("\n"), F.col("block")).alias("value"))
 
     def version(n: int):
@@ -108,15 +115,15 @@ def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes, bool]]:
         at = end + 1
         if not line.strip():
             continue
-        if line.startswith("filedesc://"):
-            # The block is read before its line can be: the version decides how many fields the line has.
-            version = data[at: at + 1]
-            names = FIELDS[2 if version == b"2" else 1].split()
+        # The block is read before its line can be: the version decides how many fields the line has.
+        version = line.startswith("filedesc://") and VERSION_BLOCK.match(data, at)
+        if version:
+            names = FIELDS[2 if version[1] == b"2" else 1].split()
         values = line.rsplit(" ", len(names) - 1)
         if len(values) != len(names) or not values[-1].isdigit():
             continue
         length = int(values[-1])
-        if not line.startswith("filedesc://"):
+        if not version:
             yield dict(zip(names, values)), data[at: at + length], at + length > len(data)
         at += length
 
@@ -144,9 +151,9 @@ def _sha1(data: bytes) -> str:
 
 _RECORD = pa.schema([
     ("page_id", pa.int64()), ("url", pa.string()), ("ip", pa.string()), ("date", pa.string()), ("mime", pa.string()),
-    ("truncated", pa.bool_()), ("http", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()),
+    ("truncated", pa.bool_()), ("http", pa.binary()), ("payload", pa.binary()), ("payload_bytes", pa.int64()),
     ("digest", pa.string()), ("block_digest", pa.string()), ("head_digest", pa.string())])
-_RECORD_DDL = ("page_id long, url string, ip string, date string, mime string, truncated boolean, http string, payload binary, "
+_RECORD_DDL = ("page_id long, url string, ip string, date string, mime string, truncated boolean, http binary, payload binary, "
                "payload_bytes long, digest string, block_digest string, head_digest string")
 
 
@@ -174,7 +181,7 @@ def _arc_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for fields, block, cut in parse_arc(data):
                 head, payload = split_http(block)
                 yield (_number(_field(head, b"X-Page-Id")), fields["URL"], fields["IP-address"], fields["Archive-date"],
-                       fields["Content-type"], cut, head.decode("utf-8", "replace"), payload, len(payload), _sha1(payload),
+                       fields["Content-type"], cut, head, payload, len(payload), _sha1(payload),
                        _sha1(block), _sha1(head))
     return _batched(rows(), _RECORD, lambda r: r[8] + 500)
 
@@ -217,13 +224,14 @@ def to_warc(records: DataFrame, path: str, min_bytes: int = MIN_REVISIT) -> None
     """WARC files of ARC records; later copies of a payload become revisits of the one with the largest id."""
     marked = _with_reference(records, min_bytes)
     revisit = F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
-    block = F.when(revisit, F.col("http")).otherwise(F.concat(F.col("http"), F.col("payload").cast("string")))
+    headless = F.octet_length("http") == 0
+    block = F.when(revisit, F.col("http")).otherwise(F.concat(F.col("http"), F.col("payload")))
     d = F.col("date")
     iso = F.concat(F.substring(d, 1, 4), F.lit("-"), F.substring(d, 5, 2), F.lit("-"), F.substring(d, 7, 2), F.lit("T"),
                    F.substring(d, 9, 2), F.lit(":"), F.substring(d, 11, 2), F.lit(":"), F.substring(d, 13, 2), F.lit("Z"))
     head = F.concat_ws(
         "\r\n", F.lit("WARC/1.1"),
-        F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise(F.when(F.col("http") == "", "resource").otherwise("response"))),
+        F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise(F.when(headless, "resource").otherwise("response"))),
         F.concat(F.lit("WARC-Record-ID: "), _identifier(F.col("page_id"))),
         F.concat(F.lit("WARC-Date: "), iso), F.concat(F.lit("WARC-Target-URI: "), F.col("url")),
         F.concat(F.lit("WARC-IP-Address: "), F.col("ip")),
@@ -232,9 +240,9 @@ def to_warc(records: DataFrame, path: str, min_bytes: int = MIN_REVISIT) -> None
         F.when(revisit, F.concat(F.lit(f"WARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), _identifier(F.col("top")),
                                  F.lit("\r\nX-Refers-To-Page-Id: "), F.col("top").cast("string"))),
         F.when(F.col("truncated"), "WARC-Truncated: length"),
-        F.concat(F.lit("Content-Type: "), F.when(F.col("http") == "", F.col("mime")).otherwise("application/http; msgtype=response")),
+        F.concat(F.lit("Content-Type: "), F.when(headless, F.col("mime")).otherwise("application/http; msgtype=response")),
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")))
-    _write(marked.select(F.concat(head, F.lit("\r\n\r\n"), block).alias("value")), path, "\r\n\r\n")
+    _write(marked.select(F.concat(head, F.lit("\r\n\r\n"), block.cast("string")).alias("value")), path, "\r\n\r\n")
 
 
 # Reading WARC
