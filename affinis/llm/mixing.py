@@ -1,13 +1,17 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Sources get targets by weight, with a ceiling on repeats. A document of a source whose target is ``r`` times
-its size is taken ``floor(r)`` times for certain; the rest of the target is a sample without replacement. Its
-order is Pareto sampling's: a uniform number ``u`` fixed by the row gives the odds ``u / (1 - u)``, divided by
-the odds of inclusion, and the smallest ranks are taken. Sizes fix the sample: the ranks are cut where the
-taken words are full, and up to ``CLOSERS`` documents whose sizes come nearest to the gap left close it.
+Sources get targets by weight, with a ceiling on repeats. Where a source's target is ``r`` times its size, its documents
+are wanted ``r`` times on average (by words), but not equally: a document's number leans with its worth, from 0 to 1, by
+``r + slope * (worth - mean worth)``. The slope is ``LEAN`` of the steepest that keeps all numbers between 0 and the
+ceiling; worth grows with length, so documents with more context come more often. The mean is weighted by words, so the
+wanted words still sum to the target. A document wanted ``e`` times is taken ``floor(e)`` times for certain; the rest is
+its odds of inclusion in a sample without replacement. Its order is Pareto sampling's: a uniform number ``u`` fixed by
+the row gives the odds ``u / (1 - u)``, divided by the odds of inclusion, and the smallest ranks are taken. The fixed size
+is one of words: the ranks are cut where the taken words are full, and up to ``CLOSERS`` documents whose sizes come
+nearest to the gap left close it. These few a source go by size and not by rank.
 
 At scale: one scan of the texts, stored as a slim table. A source may hold a third of all rows, so no task
-ever ranks a source: rows equal in rank, id and size become one group with their number, ranks fall into cells,
+ever ranks a source: rows equal in rank, id, size and certain copies become one group with their number, ranks fall into cells,
 cells are summed (at most ``CELLS`` rows a source), and only the cell in which a source fills up is opened, twice.
 How many of a group's rows fit is found by division; rows of groups taken in part are made anew, in pieces. Per-source figures are one row a source and are joined by
 their measured size.
@@ -26,6 +30,8 @@ from affinis.llm.store import settle
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 REPEATS = 2
+LEAN = 0.5
+CONTEXT = 200
 CELLS = 4096
 CLOSERS = 3
 PIECE = 1000
@@ -43,6 +49,11 @@ def uniform(doc_id: Column, text: Column, seed: int) -> Column:
     return (F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long").cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
+def by_length(size: Column) -> Column:
+    """Worth in thousandths, a whole number: 0 for no words, half at ``CONTEXT`` words, towards 1 beyond."""
+    return F.floor(size * 1000 / (size + CONTEXT)).cast("long")
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: float = REPEATS) -> DataFrame:
     """One row per source with its size: adds ``target``.
 
@@ -76,26 +87,45 @@ def _fill(sums: DataFrame, key: list[str], need: str) -> DataFrame:
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = 17,
+    weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = 17, lean: float = LEAN, worth: Column | None = None,
 ) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target and the words ``taken``."""
+    """One row per document: doc_id, size, source_size, target and the words ``taken``.
+
+    ``worth`` is a column of ``docs`` in thousandths (0 to 1000, null: 0), instead of that by length; ``lean`` 0 wants all alike.
+    """
+    by_worth = by_length(F.col("size")) if worth is None else F.col("worth")
+    given = F.lit(0) if worth is None else F.least(F.greatest(F.coalesce(worth, F.lit(0)), F.lit(0)), F.lit(1000))
     slim = settle(docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
         word_count(F.col(text_col)).alias("size"), uniform(F.col(id_col), F.col(text_col), seed).alias("u"),
-    ), "mix-sizes")
-    sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
+        given.cast("long").alias("worth"),
+    ).withColumn("worth", by_worth), "mix-sizes")
+    sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("worth")).alias("source_worth"))
+    worths = settle(sizes.select(F.col("source").alias("s0"), "source_worth"), "mix-worths")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     plan = targets(sizes, weights, share, repeats).withColumn("ratio", ratio)
-    plan = plan.withColumn("whole", F.floor("ratio")).withColumn("odds", F.col("ratio") - F.col("whole"))
-    plan = settle(plan.withColumn("need", F.col("target") - F.col("whole") * F.col("source_size")), "mix-plan")
+    plan = plan.join(worths, F.col("source").eqNullSafe(F.col("s0"))).drop("s0")
+    mean = F.when(F.col("source_size") > 0, F.col("source_worth") / F.col("source_size")).otherwise(0.0)
+    # The steepest slope, in copies per thousandth, that leaves the least worth at 0 or more and the most at the ceiling or less.
+    steepest = F.when(F.col("mean") > 0, F.least(F.col("ratio") / F.col("mean"), (repeats - F.col("ratio")) / (1000 - F.col("mean"))))
+    slope = F.when((F.col("mean") > 0) & (F.col("mean") < 1000), F.lit(float(lean)) * F.greatest(steepest, F.lit(0.0))).otherwise(0.0)
+    plan = settle(plan.withColumn("mean", mean).withColumn("slope", slope).select(
+        F.col("source").alias("of"), "source_size", "target", "ratio", "mean", "slope"), "mix-plan")
+
+    wanted = F.col("ratio") + F.col("slope") * (F.col("worth") - F.col("mean"))
+    wanted = F.least(F.greatest(wanted, F.lit(0.0)), F.lit(float(repeats)))
+    asked = slim.join(plan, F.col("source").eqNullSafe(F.col("of"))).withColumn("wanted", wanted)
+    asked = asked.withColumn("whole", F.floor("wanted")).withColumn("odds", F.col("wanted") - F.col("whole"))
+    certain = asked.groupBy("of", "target").agg(F.sum(F.col("size") * F.col("whole")).alias("certain"))
+    certain = settle(certain.select(F.col("of").alias("s0"), (F.col("target") - F.col("certain")).alias("need")), "mix-certain")
 
     # Pareto ranks: random odds over inclusion odds, brought to [0, 1) so that they fall into cells.
     q = (F.col("u") / (1 - F.col("u"))) / (F.col("odds") / (1 - F.col("odds")))
     place = q / (1 + q)
-    ranked = slim.join(plan.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    ranked = asked.join(certain, F.col("source").eqNullSafe(F.col("s0"))).drop("s0", "of")
     ranked = ranked.withColumn("rank", F.when(F.col("odds") > 0, place))
     # Rows equal in all that orders them, with their number.
-    groups = ranked.where(F.col("rank").isNotNull()).groupBy("source", "need", "rank", "doc_id", "size").agg(F.count("*").alias("copies"))
+    groups = ranked.where(F.col("rank").isNotNull()).groupBy("source", "need", "rank", "doc_id", "size", "whole").agg(F.count("*").alias("copies"))
     groups = groups.withColumn("coarse", F.floor(F.col("rank") * CELLS).cast("int"))
     groups = groups.withColumn("fine", F.floor((F.col("rank") * CELLS - F.col("coarse")) * CELLS).cast("int"))
     groups = settle(groups.withColumn("words", F.col("size") * F.col("copies")), "mix-groups")
@@ -107,10 +137,10 @@ def mix(
     second = _fill(opened.groupBy("source", "need1", "fine").agg(F.sum("words").alias("size")), ["fine"], "need1")
     second = settle(second.select(F.col("source").alias("s2"), F.col("cell.fine").alias("c2"), F.col("left").alias("need2")), "mix-cells")
     rows = opened.join(second, F.col("source").eqNullSafe(F.col("s2")) & (F.col("fine") == F.col("c2")))
-    order = Window.partitionBy("source").orderBy("rank", "doc_id", "size")
+    order = Window.partitionBy("source").orderBy("rank", "doc_id", "size", "whole")
     rows = rows.withColumn("left", F.col("need2") - (F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")))
     # The group in which the words are full; how many of its copies come before the document at which they are; the gap.
-    here = F.struct("rank", "doc_id", "size")
+    here = F.struct("rank", "doc_id", "size", "whole")
     edge = rows.where((F.col("left") > 0) & (F.col("left") <= F.col("words"))).groupBy("source").agg(
         F.min(F.struct(here.alias("it"), "copies", "left")).alias("edge"))
     size, left = F.col("edge.it.size"), F.col("edge.left")
@@ -144,8 +174,8 @@ def mix(
     # Groups taken in part, at most CLOSERS + 1 a source: their rows are equal and are made from their number, piece by piece.
     part = gaps.select("s3", "limit", "fit", "more", F.explode(F.array_distinct(F.array_append("more", F.col("limit")))).alias("x"))
     part = part.select("s3", F.col("x.it").alias("it"), F.col("x.copies").alias("copies"), used(F.col("x.it")).alias("used"))
-    part = part.join(plan, F.col("s3").eqNullSafe(F.col("source"))).select(
-        F.col("it.doc_id").alias("doc_id"), F.col("it.size").alias("size"), "source_size", "target", "whole", "copies", "used",
+    part = part.join(plan, F.col("s3").eqNullSafe(F.col("of"))).select(
+        F.col("it.doc_id").alias("doc_id"), F.col("it.size").alias("size"), "source_size", "target", F.col("it.whole").alias("whole"), "copies", "used",
         F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / PIECE))).alias("piece"))
     last = F.least("copies", (F.col("piece") + 1) * PIECE) - 1
     part = part.repartition("doc_id", "size", "piece").withColumn("number", F.explode(F.sequence(F.col("piece") * PIECE, last)))

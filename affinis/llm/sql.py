@@ -76,9 +76,11 @@ def mixing(docs: str) -> str:
     picked = " OR ".join(f"r.row_no IS NOT DISTINCT FROM {last}.x{k}" for k in rounds)
     return f"""
     WITH slim AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}+')) AS BIGINT) AS size,
+            size * 1000 // (size + {_mixing.CONTEXT}) AS worth,
             (('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))), 1, 13))::BIGINT::DOUBLE
              + 0.5) / 4503599627370496.0 AS u FROM {docs}),
-    sized AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM slim GROUP BY source),
+    sized AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+        CAST(sum(size * worth) AS BIGINT) AS source_worth FROM slim GROUP BY source),
     weighted AS (SELECT *, source_size * {float(_mixing.REPEATS)} AS cap, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM sized),
     placed AS (SELECT *, ([{weights}])[(place - 1) % {len(_mixing.WEIGHTS)} + 1]::DOUBLE AS weight FROM weighted),
     levels AS (SELECT *, cap / weight AS full_at,
@@ -86,13 +88,19 @@ def mixing(docs: str) -> str:
                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
             / sum(weight) OVER (ORDER BY cap / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS c FROM placed),
     level AS (SELECT first(c ORDER BY full_at, place) AS level FROM levels WHERE c <= full_at),
-    plan AS (SELECT source, source_size, CASE WHEN level IS NULL OR level * weight >= cap THEN cap ELSE level * weight END AS target
+    plan AS (SELECT source, source_size, source_worth, CASE WHEN level IS NULL OR level * weight >= cap THEN cap ELSE level * weight END AS target
         FROM levels, level),
-    shares AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS ratio FROM plan),
-    odds AS (SELECT *, floor(ratio) AS whole, ratio - floor(ratio) AS odds, target - floor(ratio) * source_size AS need FROM shares),
-    keyed AS (SELECT slim.*, odds.* EXCLUDE (source), CASE WHEN odds > 0 THEN
-            ((u / (1 - u)) / (odds / (1 - odds))) / (1 + (u / (1 - u)) / (odds / (1 - odds))) END AS rank
-        FROM slim JOIN odds ON slim.source IS NOT DISTINCT FROM odds.source),
+    shares AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS ratio,
+        CASE WHEN source_size > 0 THEN source_worth / source_size ELSE 0.0 END AS mean FROM plan),
+    slopes AS (SELECT *, CASE WHEN mean > 0 AND mean < 1000 THEN {_mixing.LEAN}::DOUBLE
+        * greatest(least(ratio / mean, ({_mixing.REPEATS} - ratio) / (1000 - mean)), 0.0) ELSE 0.0 END AS slope FROM shares),
+    asked AS (SELECT slim.*, slopes.* EXCLUDE (source),
+        least(greatest(ratio + slope * (worth - mean), 0.0), {float(_mixing.REPEATS)}) AS wanted
+        FROM slim JOIN slopes ON slim.source IS NOT DISTINCT FROM slopes.source),
+    odds AS (SELECT *, floor(wanted) AS whole, wanted - floor(wanted) AS odds,
+        target - sum(size * floor(wanted)) OVER (PARTITION BY source) AS need FROM asked),
+    keyed AS (SELECT *, CASE WHEN odds > 0 THEN
+            ((u / (1 - u)) / (odds / (1 - odds))) / (1 + (u / (1 - u)) / (odds / (1 - odds))) END AS rank FROM odds),
     ranked AS (SELECT *, row_number() OVER o AS row_no, sum(size) OVER o AS run FROM keyed
         WINDOW o AS (PARTITION BY source ORDER BY rank NULLS LAST, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING)),
     g0 AS (SELECT source, row_no AS edge, CAST(need - (run - size) AS DOUBLE) AS gap FROM ranked

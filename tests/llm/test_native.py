@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import edge
 import pytest
+from pyspark.sql import functions as F
 
 from affinis.llm import lines, mixing, quality
 
@@ -92,24 +93,51 @@ def test_mix_comes_near_its_targets(spark, n):
         assert abs(taken[s] - target[s]) <= (largest[s] if n < 10 else 0.02 * target[s])
 
 
+def _wanted(sizes, ratio, worths=None):
+    """Copies wanted of each document of one source."""
+    worths = worths or [n * 1000 // (n + mixing.CONTEXT) for n in sizes]
+    mean = sum(n * w for n, w in zip(sizes, worths)) / sum(sizes)
+    slope = mixing.LEAN * min(ratio / mean, (2 - ratio) / (1000 - mean))
+    return [ratio + slope * (w - mean) for w in worths]
+
+
 def _mixed(rows):
     """The sample of one source, row by row; (size, taken) of each."""
-    ranked = sorted(((u / (1 - u), i is not None, i, n) for i, n, u in rows), key=lambda r: (r[0], r[1], r[2] or 0, r[3]))
+    wanted = _wanted([n for _, n, _ in rows], 1.5)
+    rank = lambda u, e: (u / (1 - u)) / (e % 1 / (1 - e % 1))
+    ranked = sorted(((rank(u, e), i is not None, i, n, int(e)) for (i, n, u), e in zip(rows, wanted)), key=lambda r: (r[0], r[1], r[2] or 0, r[3]))
     total = sum(r[3] for r in ranked)
-    gap, taken = total * 1.5 - total, [1] * len(ranked)
+    taken = [r[4] for r in ranked]
+    gap = total * 1.5 - sum(r[3] * r[4] for r in ranked)
     for k, r in enumerate(ranked):
         if r[3] >= gap:
             break
         gap -= r[3]
-        taken[k] = 2
+        taken[k] += 1
     for _ in range(mixing.CLOSERS):
-        off = [(abs(r[3] - gap), k) for k, r in enumerate(ranked) if taken[k] == 1 and abs(r[3] - gap) < gap]
+        off = [(abs(r[3] - gap), k) for k, r in enumerate(ranked) if taken[k] == r[4] and abs(r[3] - gap) < gap]
         if off:
-            taken[min(off)[1]] = 2
+            taken[min(off)[1]] += 1
             gap -= ranked[min(off)[1]][3]
     return sorted((repr(r[2]), r[3], r[3] * t) for r, t in zip(ranked, taken))
 
 
+@pytest.mark.parametrize("given", [False, True])
+def test_documents_come_as_often_as_wanted(spark, given):
+    # Three kinds of documents in two sources, one of which is short of its share and repeats.
+    sizes, worths = [20, 100, 400], [900, 300, 0]
+    rows = [(i, " ".join(["w"] * sizes[i % 3]), "a" if i % 10 else "b", worths[i % 3]) for i in range(12_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, worth long").repartition(4)
+    out = mixing.mix(docs, worth=F.col("worth") if given else None).groupBy("source_size", "target", "size").agg(
+        F.count("*").alias("n"), F.sum("taken").alias("taken")).collect()
+    assert len(out) == 6
+    for source in {r.source_size for r in out}:
+        kinds = sorted((r for r in out if r.source_size == source), key=lambda r: r.size)
+        wanted = _wanted([r.size * r.n for r in kinds], kinds[0].target / source, worths if given else [r.size * 1000 // (r.size + mixing.CONTEXT) for r in kinds])
+        assert all(abs(r.taken / r.size / r.n - e) < 0.03 for r, e in zip(kinds, wanted)), (kinds, wanted)
+        assert abs(sum(r.taken for r in kinds) - kinds[0].target) <= 20
+
+
 @pytest.mark.parametrize("copies,seed,fixed", [(5000, 0, 7), (5000, 1, None), (3, 2, 7), (1, 3, 7)])
 def test_mix_takes_repeated_rows_one_by_one(spark, copies, seed, fixed):
     # Most words are in rows that repeat, so the edge falls among them; closers pick from small groups of repeats.
@@ -138,7 +166,7 @@ def _deduped(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("batches", [1, 3, 9])
+@pytest.mark.parametrize("batches", [None, 1, 9])
 def test_line_dedup(spark, batches):
     docs = edge.documents()
     extra = [(100 + i, f"a line that all share\nown line number {i}\n{edge.prose(i, 24)}", "en", "s", 1, *docs[0][5:]) for i in range(40)]
@@ -155,6 +183,22 @@ def test_line_dedup_keeps_columns(spark):
     assert lines.dedup(edge.frame(spark, [])).count() == 0
 
 
+def test_line_dedup_by_text_ids_compacts_and_leaves_no_table(spark, monkeypatch):
+    levels = []
+    close = lines.LineRuns.close
+    monkeypatch.setattr(lines.LineRuns, "close", lambda self: (levels.append([len(x) for x in self.levels]), close(self)))
+    before = {t.name for t in spark.catalog.listTables()}
+    rows = [(f"é{i % 7}-{i}", f"a line that all share\nline of some {i // 3}\n{edge.prose(i, 24)}") for i in range(90)] + [(None, "a line that all share"), ("", None)]
+    out = lines.line_counts(spark.createDataFrame(rows, "doc_id string, text string").repartition(4))
+    got = {r.doc_id: (r.n_lines, r.n_dropped) for r in out.collect()}
+    first, groups = min(i for i, _ in rows if i), defaultdict(list)
+    for n in range(90):
+        groups[n // 3].append(rows[n][0])
+    assert got[None] == (1, 1) and got[""] == (1, 0)
+    assert all(got[i][1] == (i != first) + (i != min(groups[n // 3])) for n, (i, _) in enumerate(rows[:90]))
+    assert levels == [[1, 1]] and {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_runs_are_compacted(spark):
     runs = lines.LineRuns(spark, 2)
     for i in range(9):
