@@ -60,14 +60,22 @@ def tag_names(tags: Column, names: list[str]) -> list[Column]:
     return [F.get(tags, F.lit(i))["name"].alias(name) for i, name in enumerate(names)]
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, not at every mention in it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def favourite_tags(tag_lists: Column) -> Column:
-    """Tags of several tag lists by how often they occur, then by name."""
-    flat = F.filter(F.flatten(tag_lists), lambda t: t.isNotNull())
-    counted = F.transform(
-        F.array_distinct(flat),
-        lambda t: F.struct((-F.size(F.filter(flat, lambda x: x == t))).alias("down"), t.alias("tag")),
-    )
-    return F.transform(F.array_sort(counted), lambda e: e["tag"])
+    """Tags of several tag lists by how often they occur, then by name: one sort, then lengths of runs."""
+
+    def ranked(tags: Column) -> Column:
+        numbered = F.transform(tags, lambda t, i: F.struct(i.alias("at"), t.alias("tag")))
+        heads = F.filter(numbered, lambda e: (e["at"] == 0) | (F.get(tags, e["at"] - 1) != e["tag"]))
+        counted = _bound(heads, lambda h: F.transform(h, lambda e, k: F.struct(
+            (e["at"] - F.coalesce(F.get(h, k + 1)["at"], F.size(tags))).alias("down"), e["tag"].alias("tag"))))
+        return F.transform(F.array_sort(counted), lambda e: e["tag"])
+
+    return _bound(F.array_sort(F.filter(F.flatten(tag_lists), lambda t: t.isNotNull())), ranked)
 
 
 def newest_first(collects: Column, by: int = 2) -> Column:

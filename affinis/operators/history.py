@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from affinis import settings
 from affinis.functions import arrays
 from affinis.operators import pieces
-from affinis.session import settled
+from affinis.session import offered, settled
 
 TIE_BREAK = ("ts", "event_id")
 
@@ -86,10 +86,11 @@ def _running_stats_of_hot(hot: DataFrame, user: str, ts: str, rating: str, piece
     """The same figures from running sums over one row per user and time.
 
     Ratings are taken relative to the user's mean, so that sums of squares stay
-    small; there is one mean per hot user, of whom there are few by definition.
+    small; there is one mean per hot user.
     """
     means = settled(hot.groupBy(F.col(user).alias("_user")).agg(F.coalesce(F.avg(rating), F.lit(0.0)).alias("_mean")))
-    centred = hot.join(F.broadcast(means), F.col(user).eqNullSafe(F.col("_user"))).drop("_user")
+    means = offered(means)
+    centred = hot.join(means, F.col(user).eqNullSafe(F.col("_user"))).drop("_user")
     r = F.col(rating).cast("double") - F.col("_mean")
     per_time = centred.groupBy(user, ts, "_mean").agg(
         F.count(F.lit(1)).alias("_rows"),
@@ -98,7 +99,7 @@ def _running_stats_of_hot(hot: DataFrame, user: str, ts: str, rating: str, piece
         F.sum(r * r).alias("_ss"),
     )
     sums = pieces.running_totals(per_time.drop("_mean"), user, ts, ["_rows", "_n", "_s", "_ss"], piece_rows)
-    sums = sums.join(F.broadcast(means), F.col(user).eqNullSafe(F.col("_user"))).drop("_user")
+    sums = sums.join(means, F.col(user).eqNullSafe(F.col("_user"))).drop("_user")
     n, s, ss = (F.col(c).cast("double") for c in ("_n", "_s", "_ss"))
     variance = F.try_divide(ss - F.try_divide(s * s, n), n - 1)
     stats = sums.select(

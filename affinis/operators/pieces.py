@@ -15,7 +15,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from affinis import settings
-from affinis.session import settled
+from affinis.session import offered, settled
 
 PIECE = "_piece"
 CARRIED = "_carried"
@@ -26,15 +26,16 @@ def split_hot(
 ) -> tuple[DataFrame, DataFrame | None]:
     """Rows of ordinary keys, and rows of keys with more than ``hot_rows`` rows.
 
-    There can be at most ``rows / hot_rows`` such keys, so their list is small
-    enough to broadcast by construction. ``counted`` may name a cheaper frame to
+    There can be at most ``rows / hot_rows`` such keys. Their list is counted, and
+    broadcast only if short; else the joins shuffle, and skewed keys are split
+    there. ``counted`` may name a cheaper frame to
     count in: one that holds at least the rows of ``df``.
     """
     source = df if counted is None else counted
     hot = source.groupBy(F.col(key).alias("_hot")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
     if hot.isEmpty():
         return df, None
-    keys = F.broadcast(settled(hot.select("_hot")))
+    keys = offered(settled(hot.select("_hot")))
     same = F.col(key).eqNullSafe(F.col("_hot"))
     return df.join(keys, same, "left_anti"), df.join(keys, same, "left_semi")
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from affinis import settings
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -59,3 +61,8 @@ def settled(df: DataFrame) -> DataFrame:
     path = shared_path(df.sparkSession, "settled")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def offered(stored: DataFrame) -> DataFrame:
+    """A stored key list, marked for broadcast if its counted rows allow it."""
+    return F.broadcast(stored) if stored.count() <= settings.BROADCAST_ROWS else stored

@@ -64,3 +64,5 @@ RESIDENT_BYTES = 128 * 1024 * 1024
 QUERIES_PER_TASK = 100_000
 # Stored length of similar-user lists (ours; readers ask for fewer).
 MAX_SIMILAR_USERS = 1000
+# Key lists of up to this many rows are broadcast; longer ones are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000

@@ -1,5 +1,7 @@
 import math
+import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -42,6 +44,17 @@ def test_favourite_tags(spark):
     assert got == ["b", "c", "a"]
 
 
+def test_favourite_tags_equal_counting(spark):
+    r = random.Random(3)
+    lists = [[[r.choice([None, "é", "b", "a b", "c", "ä"]) for _ in range(r.randint(0, 5))] for _ in range(r.randint(0, 8))] for _ in range(60)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*lists, None, []])], "i int, t array<array<string>>")
+    got = dict(df.select("i", arrays.favourite_tags(F.col("t"))).collect())
+    for i, tags in enumerate(lists):
+        n = Counter(t for one_list in tags for t in one_list if t is not None)
+        assert got[i] == sorted(n, key=lambda t: (-n[t], t.encode()))
+    assert got[60] is None and got[61] == []
+
+
 def test_newest_first_orders_by_time_or_rating(spark):
     rows = [["1", "9", "2020-01-01"], ["2", "3", "2021-01-01"], ["3", "5", "2019-01-01"]]
     assert one(spark, TAGS, rows, arrays.newest_first(F.col("tags"))) == ["2", "1", "3"]

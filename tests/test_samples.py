@@ -4,6 +4,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from affinis import settings
 from affinis.operators import embeddings, features, history, pieces, samples
 from affinis.plans import features as plan
 
@@ -104,6 +105,17 @@ def test_other_windows_in_pieces_equal_plain_ones(spark):
         assert result() == result(hot_rows=50, piece_rows=80), add.__name__
 
 
+def test_hot_keys_beyond_the_broadcast_bound_are_joined(spark, monkeypatch):
+    df = samples.add_label(frame(spark, skewed()))
+    plain = sorted(map(repr, history.add_running_stats(df).select("event_id", "user_rating_count").collect()))
+    monkeypatch.setattr(settings, "BROADCAST_ROWS", 0)
+    cold, hot = pieces.split_hot(df, "user_id", 1)
+    for part in (cold, hot):
+        assert "ResolvedHint" not in part._jdf.queryExecution().analyzed().toString()
+    assert cold.count() + hot.count() == df.count()
+    assert sorted(map(repr, history.add_running_stats(df, hot_rows=1, piece_rows=80).select("event_id", "user_rating_count").collect())) == plain
+
+
 @pytest.mark.parametrize("hot_rows", [10**9, 100, 0])
 def test_row_numbers_and_sequences(spark, hot_rows):
     rows = skewed()
