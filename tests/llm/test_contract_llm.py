@@ -12,6 +12,8 @@ BOUNDED = {
     ("alignment.py", ".toArrow()"): 2,
     # Terms of one block of queries.
     ("ranking.py", ".toArrow()"): 1,
+    # Ids that part the batches: EDGE_SAMPLE for every BATCH_BYTES of text.
+    ("lines.py", ".collect()"): 1,
     # Nodes of a bounded sample, at most MOST_NODES; counts of counts up to 1000.
     ("language.py", ".toArrow()"): 2,
 }
