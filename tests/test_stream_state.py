@@ -119,3 +119,19 @@ def test_no_rows_and_no_times(spark, tmp_path):
         ingest.take(spark.createDataFrame(rows, refresh.INTERACTIONS), k)
     got = [tuple(r) for r in ingest.counts.all().orderBy("batch_id").select("given", "kept", "late", "repeated").collect()]
     assert got == [(0, 0, 0, 0), (1, 1, 0, 0), (2, 1, 0, 1), (0, 0, 0, 0)]
+
+
+def test_state_needs_no_setting_of_the_session(spark, tmp_path):
+    """Spark's default store can't hold a state of several parts."""
+    name, plain = user_state._STORE, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    before = spark.conf.get(name)
+    spark.conf.set(name, plain)
+    try:
+        write(spark, [(1, 1, 5, 8, at(1)), (2, 1, 6, 2, at(2))], str(tmp_path / "in"))
+        table = RevisionTable(spark, str(tmp_path / "out"), user_state.FEATURES)
+        stream = refresh.ingest(refresh.read(spark, str(tmp_path / "in"), refresh.INTERACTIONS), "36500 days")
+        user_state.keep_state_features(stream, table, str(tmp_path / "checkpoint")).awaitTermination()
+        assert [tuple(r)[:2] + (r.user_rating_count,) for r in table.latest("user_id").collect()] == [(1, 5, 2)]
+        assert spark.conf.get(name) == plain
+    finally:
+        spark.conf.set(name, before)
