@@ -113,3 +113,42 @@ def test_long_top_lists_are_cut_before_the_shuffle(spark):
     top = top_rows(rows, "key", [F.col("id").desc()], 5000)
     assert top._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 2
     assert top.groupBy("key").count().where("count = 5000").count() == 3
+
+
+def _asked(n, width, seed):
+    import pyarrow as pa
+
+    r = np.random.default_rng(seed)
+    vectors = [v.tobytes() for v in r.normal(size=(n, width))]
+    return pa.record_batch({"id": pa.array(range(n), pa.int64()), "vector": vectors, "taken": pa.array([[i, i + 1] for i in range(n)], pa.list_(pa.int64()))})
+
+
+def test_memory_does_not_grow_with_the_items():
+    """The best rows of a chunk of queries are all that a task keeps: 200,000 items cost no more than 20,000."""
+    import tracemalloc
+
+    from affinis.operators.scoring import _Chunk
+
+    peaks = []
+    for items in (20_000, 200_000):
+        chunk, r = _Chunk([_asked(256, 8, 1)], 500, False, 2048), np.random.default_rng(2)
+        tracemalloc.start()
+        for s in range(0, items, 10_000):
+            chunk.meet(np.arange(s, s + 10_000), r.normal(size=80_000), np.arange(10_001) * 8)
+        rows = sum(b.num_rows for b in chunk.found())
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert rows == 256 * 500
+    assert peaks[1] < 1.5 * peaks[0]
+
+
+@pytest.mark.parametrize("sizes", PATHS)
+def test_rows_are_final_and_nothing_is_broadcast(spark, sizes):
+    """Taken items are masked where they are scored: no rows beside the k best are made, joined or ranked, and no side of vectors is sent to the driver."""
+    i = spark.createDataFrame(clustered(200, 7), EMB)
+    taken = spark.range(200).selectExpr("0 as query_id", "id as item_id").where("item_id < 150")
+    found = top_k_cosine(i, i, 5, exclude=taken, **sizes)
+    assert {r["rank"] for r in found.collect()} == {1, 2, 3, 4, 5} and found.where("query_id = 0 and item_id < 150").count() == 0
+    above = found._jdf.queryExecution().optimizedPlan().toString()
+    if sizes.get("resident_bytes") == 0:
+        assert "Window" not in above and "Join" not in above
