@@ -33,13 +33,19 @@ def nearest_cell(embs, pivots):
     cell = np.full(len(embs), IRREGULAR, dtype="int32")
     angle = np.zeros(len(embs))
     at, m = unit_rows(embs, pivots.shape[1])
-    if len(at):
-        cos = m @ pivots.T
-        cell[at] = np.argmax(cos, axis=1)
-        angle[at] = np.arccos(np.clip(cos.max(axis=1), -1, 1))
+    step = rows_at_once(len(pivots))
+    for s in range(0, len(at), step):
+        cos = m[s: s + step] @ pivots.T
+        cell[at[s: s + step]] = np.argmax(cos, axis=1)
+        angle[at[s: s + step]] = np.arccos(np.clip(cos.max(axis=1), -1, 1))
     return cell, angle
 
 
+def rows_at_once(width: int) -> int:
+    """Rows of a matrix of this width that are worked on at once: about two million numbers."""
+    return max(1, 2_000_000 // max(1, width))
+
+
 def visits(embs, need, pivots, cells):
     """Queries x cells: True where the cell may hold one of the needed rows."""
     keep = np.ones((len(embs), len(cells)), dtype=bool)

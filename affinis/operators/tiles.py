@@ -1,16 +1,16 @@
 """Exact top-k by cosine in tiles: only queries that an item tile can still help are shipped to it.
 
-Items are dealt into tiles around pivots and tiles into blocks of bounded size. The angle between a query and a pivot, less the
-tile's radius, bounds every score in the tile. Each query visits tiles in the order of these bounds, in rounds of twice
-as many as the round before, and carries its k-th score so far from round to round: a tile whose bound lies below is never
-visited, and a query that no tile left can help takes no part in further rounds. Rounds so grow with the
-logarithm of the number of tiles.
-
-At scale: a query travels to each block of the tiles it visits, in packs, and never to the others; items travel only in
-rounds in which their tile is visited, once for each ``queries_per_task`` queries of it, so a tile that all
-queries want is spread over tasks. The driver holds at most ``MAX_TILES`` pivots and radii however large the catalogue is.
-Items a query must not get are masked where they are scored, so they widen nothing; they travel with the query as a list.
-Rounds are stored, so a lost executor repeats no earlier round.
+Items are dealt into tiles around pivots, and tiles whose pivots lie near each other into groups of bounded size. The angle
+between a query and a pivot, less the tile's radius, bounds every score in the tile, and the best of a group's tiles bounds the
+group. Each query visits groups in the order of these bounds, in rounds of twice as many as the round before, and carries its
+k-th score so far from round to round: a group none of whose tiles reaches it is never visited, and a query that no group
+left can help takes no part in further rounds. Rounds so grow with the logarithm of the number of groups.
+
+At scale: a query travels to each group it visits and never to the others, however many tiles that group has; items travel only in
+rounds in which their group is visited, once for each ``queries_per_task`` queries of it, so a group that all
+queries want is spread over tasks. A task holds one block of items while the queries pass. The driver holds at most ``MAX_TILES``
+pivots and radii however large the catalogue is. Items a query must not get are masked where they are scored, so they widen
+nothing; they travel with the query as a list. Rounds are stored, so a lost executor repeats no earlier round.
 
 Defined results, those of ``operators.scoring``: rows without a vector take no part; scores have six decimals, equal ones rank
 by id; vectors without a direction score null and rank last, other lengths score -1. Ids are unique.
@@ -22,41 +22,67 @@ import sys
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from affinis import settings
-from affinis.operators.blocks import IRREGULAR, SLACK, by_length, nearest_cell, unit_rows
+from affinis.operators.blocks import IRREGULAR, SLACK, nearest_cell, rows_at_once, unit_rows
 from affinis.operators.latest import top_rows
+from affinis.operators.scoring import _BLOCK_NUMBERS, FOUND, _Chunk, _numbers
 from affinis.session import settled
 
 # Tasks get these functions by value and need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MAX_TILES = 4096
-_NEVER = -(1 << 62)
-_QUERY = "id long, emb array<double>, taken array<long>"
 _HITS = "query_id long, item_id long, score double"
+_PACK = "tile int, block int, ids array<long>, vectors array<binary>, taken array<array<long>>, least array<double>"
+_WIDE = np.dtype("<f8")
 
 
 class Plan:
-    """Pivots of the tiles, how far each reaches, and its number of blocks."""
+    """Pivots of the tiles, how far each reaches, its group, and the number of blocks of each group.
 
-    def __init__(self, pivots: np.ndarray, tiles: list[tuple[int, float, int]]):
+    ``tiles`` are (tile, radius, blocks); ``group`` has the group of each, by default the tile itself, and then ``blocks`` of the groups."""
+
+    def __init__(self, pivots: np.ndarray, tiles: list[tuple[int, float, int]], group: list[int] | None = None, blocks: dict[int, int] | None = None):
         self.pivots = pivots
-        self.tile = np.array([t for t, _, _ in tiles], np.int64)
-        self.radius = np.array([r for _, r, _ in tiles], np.float64)
-        self.blocks = {t: n for t, _, n in tiles}
+        group = np.array([t for t, _, _ in tiles] if group is None else group, np.int64)
+        order = np.argsort(group, kind="stable")
+        self.member = np.array([t for t, _, _ in tiles], np.int64)[order]
+        self.radius = np.array([r for _, r, _ in tiles], np.float64)[order]
+        self.tile, self.first = np.unique(group[order], return_index=True)
+        self.blocks = blocks if blocks is not None else {t: n for t, _, n in tiles}
+        self.group_of = dict(zip(self.member.tolist(), group[order].tolist()))
 
     def bounds(self, embs) -> np.ndarray:
-        """Queries x tiles: no score of the tile is higher. Nothing is known of odd vectors, on either side."""
-        out = np.full((len(embs), len(self.tile)), 2.0)
-        directed = np.flatnonzero(self.tile != IRREGULAR)
+        """Queries x groups: no score of the group is higher. Nothing is known of odd vectors, on either side."""
+        out = np.full((len(embs), len(self.member)), 2.0)
+        directed = np.flatnonzero(self.member != IRREGULAR)
         at, m = unit_rows(embs, self.pivots.shape[1])
         if len(at) and len(directed):
-            theta = np.arccos(np.clip(m @ self.pivots[self.tile[directed]].T, -1, 1))
+            theta = np.arccos(np.clip(m @ self.pivots[self.member[directed]].T, -1, 1))
             out[np.ix_(at, directed)] = np.cos(np.maximum(0.0, theta - self.radius[directed])) + SLACK
-        return out
+        return np.maximum.reduceat(out, self.first, axis=1) if len(self.first) else out
+
+
+def _grouped(pivots: np.ndarray, sizes: list[tuple[int, int, float]], rows: int) -> Plan:
+    """Tiles (tile, rows, radius) in groups of about ``rows`` items: those nearest to the same of a few pivots lie together."""
+    few = max(1, -(-sum(n for _, n, _ in sizes) // rows))
+    near = {t: int(np.argmax(pivots[:few] @ pivots[t])) if t != IRREGULAR else IRREGULAR for t, _, _ in sizes}
+    group, blocks, held = [], {}, 0
+    ordered = sorted(sizes, key=lambda x: (near[x[0]], x[0]))
+    for t, n, _ in ordered:
+        if t == IRREGULAR:
+            number = IRREGULAR
+        elif not held or held + n > rows:
+            number, held = t, n
+        else:
+            number, held = group[-1], held + n
+        group.append(number)
+        blocks[number] = blocks.get(number, 0) + n
+    return Plan(pivots, [(t, r, 1) for t, _, r in ordered], group, {g: max(1, -(-n // rows)) for g, n in blocks.items()})
 
 
 def _plan(items: DataFrame, tile_rows: int) -> Plan:
@@ -69,7 +95,7 @@ def _plan(items: DataFrame, tile_rows: int) -> Plan:
         pivots = np.array([r["emb"] for r in rows if len(r["emb"]) == len(rows[0]["emb"])], np.float64)
         pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
     sizes = _placed(items, pivots).groupBy("tile").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()
-    return Plan(pivots, [(r["tile"], r["radius"], max(1, -(-r["n"] // settings.ITEM_BLOCK_ROWS))) for r in sorted(sizes)])
+    return _grouped(pivots, [(r["tile"], r["n"], r["radius"]) for r in sizes], settings.ITEM_BLOCK_ROWS)
 
 
 def _placed(items: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -81,12 +107,24 @@ def _placed(items: DataFrame, pivots: np.ndarray) -> DataFrame:
     return items.mapInPandas(place, "tile int, angle double, id long, emb array<double>")
 
 
+def _dealt(plan: Plan):
+    """Items with their group and block; a group of more than a block is split by a hash of the id."""
+    def deal(batches):
+        for pdf in batches:
+            tile, _ = nearest_cell(pdf["emb"].to_numpy(), plan.pivots)
+            group = np.array([plan.group_of[t] for t in tile.tolist()], np.int32)
+            n = np.array([plan.blocks[g] for g in group.tolist()], np.uint64)
+            mixed = (pdf["id"].to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            vectors = [np.asarray(e, _WIDE).tobytes() for e in pdf["emb"]]
+            yield pd.DataFrame({"tile": group, "block": (mixed % n).astype(np.int32), "id": pdf["id"], "vector": vectors})
+    return deal
+
+
 def _visits(plan: Plan, first: int, last: int, pack_rows: int):
-    """Queries of a round in packs by tile and block. ``least`` is a query's k-th score so far, null below k."""
+    """Queries of a round in packs by group and block. ``least`` is a query's k-th score so far, null below k."""
     def route(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
+        step = rows_at_once(len(plan.member))
+        for pdf in (whole.iloc[s: s + step] for whole in batches for s in range(0, len(whole), step)):
             embs = list(pdf["emb"])
             bounds = plan.bounds(embs)
             order = np.argsort(-bounds, axis=1, kind="stable")[:, first:last]
@@ -100,41 +138,45 @@ def _visits(plan: Plan, first: int, last: int, pack_rows: int):
                     n = plan.blocks[tile]
                     yield pd.DataFrame({
                         "tile": [tile] * n, "block": list(range(n)), "ids": [pdf["id"].to_numpy()[pack]] * n,
-                        "embs": [[embs[i] for i in pack]] * n, "taken": [[pdf["taken"].iloc[i] for i in pack]] * n,
+                        "vectors": [[np.asarray(embs[i], _WIDE).tobytes() for i in pack]] * n, "taken": [[pdf["taken"].iloc[i] for i in pack]] * n,
                         "least": [least[pack]] * n})
     return route
 
 
 def _scores(k: int, exclude_self: bool):
-    """Best rows of each query of a pack in one block of items, those below the query's k-th score left out."""
+    """Best rows of each query in one block of items, those below the query's k-th score left out. A block's items come first."""
+    def runs(batches):
+        for batch in batches:
+            keys = [batch.column(c).to_numpy() for c in ("tile", "block", "repeat", "kind")]
+            new = np.zeros(batch.num_rows, bool)
+            new[:1] = True
+            for key in keys:
+                new[1:] |= key[1:] != key[:-1]
+            starts = np.flatnonzero(new)
+            for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+                yield tuple(int(key[a]) for key in keys), batch.slice(a, b - a)
+
     def score(batches):
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                ids, items, least = np.asarray(row.ids), np.asarray(row.item_ids), np.asarray(row.least, np.float64)
-                cos = np.full((len(ids), len(items)), -1.0)
-                for q_width, q_rows, q_unit in by_length(row.embs):
-                    for i_width, i_rows, i_unit in by_length(row.item_embs):
-                        if q_width == i_width:
-                            cos[np.ix_(q_rows, i_rows)] = q_unit @ i_unit.T
-                micro = np.rint(cos * 1e6)
-                none = ~np.isfinite(micro)
-                micro[none] = -2e6
-                out = np.zeros(micro.shape, bool)
-                if exclude_self:
-                    out |= ids[:, None] == items[None, :]
-                for i, taken in enumerate(row.taken):
-                    if taken is not None and len(taken):
-                        out[i] |= np.isin(items, np.asarray(taken))
-                # Ids are sorted: the place breaks ties.
-                key = np.where(out | (micro / 1e6 < least[:, None] - SLACK), _NEVER, micro.astype("int64") * len(items) + np.arange(len(items) - 1, -1, -1))
-                top = min(k, len(items))
-                picked = np.argpartition(-key, top - 1, axis=1)[:, :top] if top < len(items) else np.broadcast_to(np.arange(len(items)), key.shape)
-                good = np.take_along_axis(key, picked, axis=1) != _NEVER
-                r, c = np.nonzero(good)
-                cols = picked[r, c]
-                value = micro[r, cols] / 1e6
-                value[none[r, cols]] = np.nan
-                yield pd.DataFrame({"query_id": ids[r], "item_id": items[cols], "score": value})
+        at, items, held = None, [], None
+        for (*where, query), part in runs(batches):
+            if where != at:
+                at, items, held = where, [], None
+            if not query:
+                items.append(part)
+                continue
+            if held is None:
+                block = pa.Table.from_batches(items).combine_chunks()
+                held = block.column("id").to_numpy(), *_numbers(block.column("vector").chunk(0), _WIDE)
+            step = max(1, min(4096, _BLOCK_NUMBERS // len(held[0]), settings.CHUNK_KEYS // k))
+            for s in range(0, part.num_rows, step):
+                some = part.slice(s, step)
+                chunk = _Chunk([some], k, exclude_self, len(held[0]))
+                least = some.column("least").to_numpy(zero_copy_only=False).astype(np.float64)
+                # An equal score may still come first by its id.
+                known = ~np.isnan(least)
+                chunk.best.least[known] = np.rint(least[known] * 1e6).astype(np.int64) - 1
+                chunk.meet(*held)
+                yield from chunk.found()
     return score
 
 
@@ -145,10 +187,7 @@ def top_k_tiles(
     """``query_id, item_id, score, rank`` of the ``k`` most similar items of each query."""
     items = settled(items.where(F.col("emb").isNotNull()).select("id", "emb"))
     plan = _plan(items, tile_rows)
-    block = F.pmod(F.xxhash64("id"), F.element_at(F.create_map(*[F.lit(x) for t, n in (plan.blocks or {0: 1}).items() for x in (t, n)]), F.col("tile"))).cast("int")
-    packed = settled(
-        _placed(items, plan.pivots).withColumn("block", block).groupBy("tile", "block").agg(F.sort_array(F.collect_list(F.struct("id", "emb"))).alias("rows"))
-        .select("tile", "block", F.col("rows.id").alias("item_ids"), F.col("rows.emb").alias("item_embs")))
+    dealt = settled(items.mapInPandas(_dealt(plan), "tile int, block int, id long, vector binary"))
     wanted = queries.where(F.col("emb").isNotNull()).select("id", "emb")
     if exclude is None:
         wanted = wanted.withColumn("taken", F.lit(None).cast("array<long>"))
@@ -157,6 +196,7 @@ def top_k_tiles(
         wanted = wanted.join(pairs.groupBy(F.col("query_id").alias("id")).agg(F.collect_set("item_id").alias("taken")), "id", "left")
     wanted = settled(wanted)
     repeats = max(1, -(-wanted.count() // queries_per_task))
+    slots = 2 * items.sparkSession.sparkContext.defaultParallelism
     order = [F.col("score").desc_nulls_last(), F.col("item_id")]
     best = items.sparkSession.createDataFrame([], f"{_HITS}, rank int")
     first, last = 0, 1
@@ -164,12 +204,18 @@ def top_k_tiles(
         # The k-th score of queries that have k; a null one bounds nothing.
         least = best.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
         asked = wanted.join(least, "id", "left")
-        packs = asked.mapInPandas(
-            _visits(plan, first, last, pack_rows),
-            "tile int, block int, ids array<long>, embs array<array<double>>, taken array<array<long>>, least array<double>")
-        packs = packs.withColumn("repeat", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(repeats)).cast("int"))
-        dealt = packed.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-        found = packs.join(dealt, ["tile", "block", "repeat"]).drop("repeat").mapInPandas(_scores(k, exclude_self), _HITS)
+        packs = asked.mapInPandas(_visits(plan, first, last, pack_rows), _PACK)
+        one = F.explode(F.arrays_zip("ids", "vectors", "taken", "least")).alias("q")
+        asking = packs.select("tile", "block", one).select(
+            "tile", "block", F.pmod(F.xxhash64("q.ids"), F.lit(repeats)).cast("int").alias("repeat"), F.lit(1).alias("kind"),
+            F.col("q.ids").alias("id"), F.col("q.vectors").alias("vector"), "q.taken", "q.least")
+        asked_of = settled(asking)
+        visited = asked_of.select("tile", "block", "repeat").distinct()
+        offered = dealt.join(visited, ["tile", "block"]).select(
+            "tile", "block", "repeat", F.lit(0).alias("kind"), "id", "vector", F.lit(None).cast("array<long>").alias("taken"), F.lit(None).cast("double").alias("least"))
+        place = ["tile", "block", "repeat"]
+        together = offered.unionByName(asked_of).repartition(slots, *place).sortWithinPartitions(*place, "kind", "id")
+        found = together.mapInArrow(_scores(k, exclude_self), FOUND).drop("rank")
         best = settled(top_rows(best.select("query_id", "item_id", "score").unionByName(found), "query_id", order, k))
         first, last = last, last + 2 * (last - first)
     return best.select("query_id", "item_id", "score", "rank")

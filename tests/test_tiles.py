@@ -48,3 +48,29 @@ def test_tiles_below_the_kth_score_are_not_visited():
     rounds = [pd.concat(tiles._visits(plan, a, b, 7)(iter([frame]))) for a, b in ((0, 1), (1, 3), (3, 7), (7, 15))]
     seen = sorted((t, q) for p in rounds for t, ids in zip(p["tile"], p["ids"]) for q in ids)
     assert seen == sorted((t, q) for t in range(12) for q in range(120))
+
+
+def test_a_query_travels_to_a_group_of_tiles_once(spark):
+    """However small the tiles: sixteen of ten items lie in one block, so a query goes there once and not sixteen times."""
+    items = spark.createDataFrame(clustered(160, 1), EMB)
+    plan = tiles._plan(items, 10)
+    frame = pd.DataFrame(clustered(40, 2), columns=["id", "emb"]).assign(taken=None, least=np.nan)
+    packs = pd.concat(tiles._visits(plan, 0, 16, 8)(iter([frame])))
+    assert sum(map(len, packs["ids"])) == 40
+
+
+def test_groups_hold_whole_tiles_up_to_their_size():
+    r = np.random.default_rng(3)
+    pivots = r.normal(size=(50, 8))
+    pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
+    plan = tiles._grouped(pivots, [(t, 30, 0.3) for t in range(50)] + [(tiles.IRREGULAR, 250, 0.0)], 100)
+    groups = pd.Series(plan.group_of)
+    assert set(groups.index) == {*range(50), tiles.IRREGULAR} and groups.drop(tiles.IRREGULAR).value_counts().max() == 3
+    assert plan.blocks[tiles.IRREGULAR] == 3 and set(plan.blocks.values()) == {1, 3}
+    # A group's bound is the highest of its tiles'.
+    alone = tiles.Plan(pivots, [(t, 0.3, 1) for t in range(50)])
+    queries = list(r.normal(size=(20, 8)))
+    one, many = alone.bounds(queries), plan.bounds(queries)
+    for g in set(groups.drop(tiles.IRREGULAR)):
+        mine = [t for t in range(50) if plan.group_of[t] == g]
+        assert np.allclose(many[:, list(plan.tile).index(g)], one[:, mine].max(axis=1))
