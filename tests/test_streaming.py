@@ -82,3 +82,18 @@ def test_rows_beyond_the_delay_are_dropped(spark, tmp_path):
     put(2, [(3, 1, 1, 5, 150_000), (4, 1, 1, 5, 199_000)])
     run()
     assert table.latest("user_id").first()["user_rating_count"] == 3
+
+
+def test_refreshed_lists_read_stored_vectors_items_and_documents(spark, folder, monkeypatch):
+    from workload import queries
+
+    given, lists = [], queries.rec.recommend_lists
+    monkeypatch.setattr(queries.rec, "recommend_lists", lambda users, model, **k: given.append(k) or lists(users, model, **k))
+    queries.QUERIES["stream_refresh"](spark, folder)
+    assert len(given) == 3
+    for frames in given:
+        for name in ("user_emb", "item_emb", "documents", "collected"):
+            assert all("/settled-" in f for f in frames[name].inputFiles()), name
+    # What does not change is stored once, not for every batch.
+    for name in ("item_emb", "documents"):
+        assert len({f for frames in given for f in frames[name].inputFiles()}) == len(given[0][name].inputFiles())
