@@ -126,3 +126,27 @@ def test_user_vectors_count_items_without_a_vector(spark):
     assert got == {1: [2.0, 0.0], 3: [0.0, 5.0]}
     weighted = embeddings.user_vectors(inter, emb, F.when(F.col("item_id") == 9, 2.0).otherwise(1.0))
     assert {r["id"]: r["emb"] for r in weighted.collect()}[1] == [1.5, 0.0]
+
+
+def test_categories_are_those_of_the_ids_trained_on(spark):
+    rows = spark.createDataFrame([(7_000_000, 5, 1), (7_000_000, 9, 0), (-3, 9, 1)], "user_id long, item_id long, label int")
+    places = rankers.id_places(rows)
+    assert places.sizes == {"user_buckets": 2, "item_buckets": 2}
+    asked = spark.createDataFrame([(-3, 5), (7_000_000, 9), (4, 9), (None, 6)], "user_id long, item_id long")
+    got = {(r["user_id"], r["item_id"]): (r["user_bucket"], r["item_bucket"]) for r in places.encode(asked).collect()}
+    # The category past the last one stands for none.
+    assert got == {(-3, 5): (0.0, 0.0), (7_000_000, 9): (1.0, 1.0), (4, 9): (2.0, 1.0), (None, 6): (2.0, 2.0)}
+    few = rankers.id_places(rows, user_buckets=1)
+    assert few.sizes["user_buckets"] == 1 and {r["user_bucket"] for r in few.encode(rows).collect()} == {0.0}
+    assert rankers.id_places(rows.where("false")).sizes == {"user_buckets": 1, "item_buckets": 1}
+
+
+def test_deepfm_holds_weights_of_trained_ids_only(spark, folder, monkeypatch):
+    from workload import queries
+
+    widths, fm = [], rankers.deep_fm
+    monkeypatch.setattr(rankers, "deep_fm", lambda vocabulary, **sizes: widths.append(sizes) or fm(vocabulary, iterations=1, **sizes))
+    assert queries.QUERIES["deepfm"](spark, folder).where("in_range").count() > 0
+    events = queries.t.interactions(spark, folder)
+    assert widths[0]["user_buckets"] <= events.select("user_id").distinct().count() < queries.t.all_users(spark, folder).count()
+    assert widths[0]["item_buckets"] <= events.select("item_id").distinct().count()
