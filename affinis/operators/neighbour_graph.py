@@ -5,6 +5,10 @@ whose neighbour it is, face to face: neighbours of a neighbour are likely neighb
 since the last round are compared, and a pair goes on only to the side whose last neighbour it beats. Rounds end when
 fewer than ``settle_share`` of all entries change.
 
+Neighbours of a neighbour tell little where directions are random, and the more vectors there are, the less. So the lists of
+up to 500 vectors, drawn by a hash, are also found exactly, and each round is measured by them. If the rounds that are left
+can't bring ``recall`` at the last one's pace, all vectors are compared with all (``operators/scoring.py``) after all.
+
 At scale: a round moves, for each vector, at most ``2 * width`` vectors and what beats a list, whatever the number of vectors:
 lists are ``width`` long, and of those whose neighbour a vector is the ``width`` nearest take part, so one that is
 everybody's neighbour costs no more than any other. Rounds are stored. The result is approximate; ``recall_of`` measures
@@ -27,6 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from affinis.operators.blocks import IRREGULAR, nearest_cell
 from affinis.operators.latest import top_rows
+from affinis.operators.scoring import top_k_cosine
 from affinis.session import settled
 
 # Tasks get these functions by value and need no copy of the package.
@@ -34,6 +39,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK = 128
 MAX_PIVOTS = 4096
+# Vectors by which recall is measured, and the room left for chance.
+SAMPLE = 500
+_MARGIN = 0.02
 _PAIRS = "id long, other long, score double"
 
 
@@ -78,10 +86,16 @@ def _best(pairs: DataFrame, width: int) -> DataFrame:
     return top_rows(pairs, "id", [F.col("score").desc(), F.col("other")], width)
 
 
+def _exact(asked: DataFrame, units: DataFrame, k: int) -> DataFrame:
+    found = top_k_cosine(asked.select("id", "emb"), units.select("id", "emb"), k, exclude_self=True, stored=True)
+    return found.select(F.col("query_id").alias("id"), F.col("item_id").alias("other"), "score", "rank")
+
+
 def neighbour_graph(
     vectors: DataFrame, k: int, width: int | None = None, rounds: int = 12, settle_share: float = 0.001, block: int = BLOCK, starts: int = 3,
+    recall: float = 0.9,
 ) -> DataFrame:
-    """``id, other, score, rank``: about the k nearest of each vector of ``vectors`` (id, emb)."""
+    """``id, other, score, rank``: the k nearest of each vector of ``vectors`` (id, emb), or at least about ``recall`` of them."""
     width = max(k, width or 4 * k)
     kept = settled(vectors.where(F.col("emb").isNotNull()).select("id", "emb"))
     # Blocks around several sets of pivots: those of one set alone would only ever know each other.
@@ -97,7 +111,14 @@ def neighbour_graph(
         met = start.select("ids", "embs", least, fresh).mapInPandas(_meet, _PAIRS)
         first = met if first is None else first.unionByName(met)
     graph = settled(_best(first.distinct(), width).withColumn("fresh", F.lit(True)))
-    for _ in range(rounds):
+    truth = settled(_exact(settled(units.orderBy(F.xxhash64("id"), "id").limit(SAMPLE)), units, k))
+
+    def reached() -> float:
+        share = recall_of(graph.where(F.col("rank") <= k), truth).first()["recall"]
+        return 1.0 if share is None else share
+
+    wanted, got = min(1.0, recall + _MARGIN), reached()
+    for left in reversed(range(rounds)):
         least = graph.groupBy("id").agg(F.when(F.count("*") >= width, F.min("score")).otherwise(F.lit(-2.0)).alias("least"))
         known = units.select("id", "emb").join(least, "id", "left").withColumn("least", F.coalesce("least", F.lit(-2.0)))
         forth = graph.select(F.col("id").alias("at"), F.col("other").alias("id"), "score", "fresh")
@@ -112,12 +133,15 @@ def neighbour_graph(
         both = both.groupBy("id", "other").agg(F.max("score").alias("score"), F.min("fresh").alias("fresh"))
         graph = settled(_best(both, width))
         total, changed = graph.agg(F.count("*"), F.count_if("fresh")).first()
-        if changed <= settle_share * total:
+        before, got = got, reached()
+        if changed <= settle_share * total or (got - before) * left < wanted - got:
             break
+    if got < wanted:
+        return _exact(units, units, k)
     return graph.where(F.col("rank") <= k).select("id", "other", "score", "rank")
 
 
 def recall_of(graph: DataFrame, exact: DataFrame) -> DataFrame:
-    """One row: the share of the exact neighbours (id, other) that the graph holds."""
+    """One row: the share of the exact neighbours (id, other) that the graph holds; null where there are none."""
     found = exact.select("id", "other").join(graph.select("id", "other", F.lit(1).alias("found")), ["id", "other"], "left")
-    return found.agg((F.count("found") / F.count("*")).alias("recall"))
+    return found.agg(F.try_divide(F.count("found"), F.count("*")).alias("recall"))

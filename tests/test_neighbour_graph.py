@@ -32,3 +32,11 @@ def test_odd_vectors_and_small_tables(spark):
     assert {(x.id, x.other, x.rank) for x in got.collect()} == {(1, 2, 1), (1, 6, 2), (2, 1, 1), (2, 6, 2), (6, 2, 1), (6, 1, 2)}
     assert neighbour_graph(spark.createDataFrame([], EMB), 5).collect() == []
     assert neighbour_graph(spark.createDataFrame(rows[:1], EMB), 5).collect() == []
+
+
+def test_recall_is_reached_where_neighbours_tell_nothing(spark):
+    r = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, list(map(float, r.normal(size=64)))) for i in range(1500)], EMB)
+    got = neighbour_graph(df, 5, width=5, block=40).cache()
+    assert recall_of(got, exact(df, 5)).first()[0] >= 0.9
+    assert got.count() == 7500 and got.columns == ["id", "other", "score", "rank"]
