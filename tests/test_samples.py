@@ -178,3 +178,21 @@ def test_busy_users_with_fractional_ratings(spark):
     shown = ["user_id", "event_id", "user_rating_count", F.round("user_avg_rating", 9), F.round("user_rating_stddev", 9)]
     plain = sorted(map(tuple, history.add_running_stats(df).select(*shown).collect()))
     assert sorted(map(tuple, history.add_running_stats(df, hot_rows=10, piece_rows=16).select(*shown).collect())) == plain
+
+
+@pytest.mark.parametrize("hot_rows", [10**9, 0])
+def test_a_deviation_on_the_edge_of_two_decimals_is_exact(spark, hot_rows):
+    """64 ratings of deviation 3.375; one update a row gives 3.37499.., which rounds the other way."""
+    ratings = [5, 7, 1, 10, 0, 10, 3, 1, 7, 0, 10, 10, 6, 5, 9, 4, 8, 10, 10, 4, 4, 10, 8, 8, 10, 7, 10, 3, 1, 9, 0, 2,
+               6, 3, 1, 8, 7, 8, 6, 7, 3, 0, 0, 1, 4, 6, 4, 7, 9, 1, 10, 5, 9, 8, 9, 8, 6, 3, 1, 5, 1, 3, 1, 5]
+    df = frame(spark, [(i, 1, 0, r, i) for i, r in enumerate(ratings)])
+    rows = history.add_running_stats(df, hot_rows=hot_rows, piece_rows=20).where("event_id = 63")
+    assert rows.first()["user_rating_stddev"] == 3.375
+    assert features.for_export(rows).first()["user_rating_stddev"] == "3.38"
+
+
+def test_ratings_too_large_for_exact_sums_keep_their_deviation(spark):
+    df = frame(spark, [(i, 1, 0, 2_000_000_000 + i % 2, i) for i in range(4)])
+    for hot_rows in (10**9, 0):
+        rows = history.add_running_stats(df, hot_rows=hot_rows, piece_rows=2).where("event_id = 3").first()
+        assert abs(rows["user_rating_stddev"] - (1 / 3) ** 0.5) < 1e-5
