@@ -5,7 +5,7 @@ rewrite only their buckets, and sorted by token within each file: the words of a
 one prefix, which row-group bounds and bloom filters answer without reading the rest. A phrase is found where each of its words
 has a position that many places behind one start.
 
-At scale: building moves each text's tokens once, grouped within the row that holds it; a search moves the positions of its own words
+At scale: building moves each text once, to its bucket, and groups its tokens within the row that holds it; a search moves the positions of its own words
 only, summed by document and start. Results are those of ``operators.search``.
 
 Defined results: null and texts without tokens have no rows and match nothing; a keyword without tokens matches nothing;
@@ -18,16 +18,24 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from affinis import settings
-from affinis.functions import text as text_fn
+from affinis.functions import arrays, text as text_fn
 from affinis.sources.buckets import BucketTable
 
 
-def postings(documents: DataFrame, key: str = "id", name: str = "name") -> DataFrame:
-    """A row per document and token: its positions, from 0, ascending."""
+def _sources(documents: DataFrame, key: str, name: str) -> DataFrame:
     # Texts of one id are told apart, or words of two would meet in one phrase.
-    found = documents.select(F.col(key).alias("id"), F.xxhash64(F.col(name)).alias("copy"), text_fn.tokens(F.col(name)).alias("words"))
-    each = found.select("id", "copy", F.posexplode("words").alias("at", "token"))
-    return each.groupBy("id", "copy", "token").agg(F.sort_array(F.collect_list("at")).alias("positions"))
+    return documents.select(F.col(key).alias("id"), F.xxhash64(F.col(name)).alias("copy"), F.col(name).alias("text"))
+
+
+def _postings(sources: DataFrame) -> DataFrame:
+    """A row per text and token: its positions, from 0, ascending. Each row is worked on by itself; nothing is moved."""
+    found = sources.select("id", "copy", arrays.places(text_fn.tokens(F.col("text"))).alias("_places"))
+    return found.select("id", "copy", F.inline("_places").alias("token", "positions"))
+
+
+def postings(documents: DataFrame, key: str = "id", name: str = "name") -> DataFrame:
+    """A row per document and token with its positions; a document given twice has its rows twice."""
+    return _postings(_sources(documents, key, name))
 
 
 class TextIndex:
@@ -36,7 +44,7 @@ class TextIndex:
         self.spark, self.table = spark, BucketTable(spark, path, schema, "id", buckets, sort="token")
 
     def create(self, documents: DataFrame, key: str = "id", name: str = "name") -> None:
-        self.table.create(postings(documents, key, name))
+        self.table.create_from(_sources(documents, key, name), _postings, F.coalesce(F.octet_length("text"), F.lit(0)))
 
     def update(self, documents: DataFrame, gone: DataFrame | None = None, key: str = "id", name: str = "name") -> list[int]:
         """Changed or new documents take the place of their old rows; those of ``gone`` lose theirs. Returns the buckets rewritten."""

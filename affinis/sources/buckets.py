@@ -16,13 +16,19 @@ deleted stays as an empty one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StructType
 
 from affinis.session import settled
 from affinis.sources import index
 
 _GONE = "_gone"
+# Sources one task makes rows of; the rows, several times as large, are sorted in its memory.
+SOURCE_BYTES = 32 * 1024 * 1024
+# Bytes of a source for each different value of the sort column, for the size of filters.
+_KEY_BYTES = 16
 
 
 class BucketTable:
@@ -56,20 +62,37 @@ class BucketTable:
         if not buckets:
             return
         placed = settled(rows.select(*self.schema.names, F.lit(False).alias(_GONE), self._bucket().alias("bucket")))
-        # One mark a bucket, so that one left without rows is overwritten too.
-        marks = self.spark.range(1).select(
+        self._write(placed.unionByName(self._marks(buckets)).hint("rebalance", "bucket"), placed.count() // len(buckets))
+
+    def _marks(self, buckets: list[int]) -> DataFrame:
+        """One mark a bucket, so that one left without rows is overwritten too."""
+        return self.spark.range(1).select(
             *[F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields], F.lit(True).alias(_GONE),
             F.explode(F.array(*map(F.lit, buckets))).alias("bucket"))
-        out = placed.unionByName(marks).hint("rebalance", "bucket").sortWithinPartitions("bucket", self.sort)
+
+    def _write(self, placed: DataFrame, keys: int) -> None:
         # Filters of about the size that a bucket's keys need; by default each would take a megabyte.
-        keys = max(1, placed.count() // len(buckets))
-        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket")
+        (placed.sortWithinPartitions("bucket", self.sort).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket")
             .option(f"parquet.bloom.filter.enabled#{self.sort}", "true")
-            .option(f"parquet.bloom.filter.expected.ndv#{self.sort}", str(keys)).parquet(self.path))
+            .option(f"parquet.bloom.filter.expected.ndv#{self.sort}", str(max(1, keys))).parquet(self.path))
 
     def create(self, rows: DataFrame) -> None:
         self.replace(list(range(self.buckets)), rows)
 
+    def create_from(self, sources: DataFrame, made: Callable[[DataFrame], DataFrame], size: Column) -> None:
+        """A new table of the rows that ``made`` makes of each row of ``sources``, which has the key and isn't read from this table.
+
+        Sources travel to their buckets, not the rows made of them, which may be many times as large; nothing else is stored or
+        moved. ``size`` is a source's bytes: a task makes the rows of about ``SOURCE_BYTES`` of a bucket, and writes one file.
+        """
+        total = sources.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()[0]
+        files = max(1, -(-total // (self.buckets * SOURCE_BYTES)))
+        # Another hash than that of the buckets, or most parts would stay empty.
+        dealt = sources.withColumn("_part", self._bucket() * files + F.pmod(F.hash(*sources.columns), F.lit(files)))
+        dealt = dealt.repartitionById(self.buckets * files, "_part").drop("_part")
+        rows = made(dealt).select(*self.schema.names, F.lit(False).alias(_GONE), self._bucket().alias("bucket"))
+        self._write(rows.unionByName(self._marks(list(range(self.buckets)))), total // (self.buckets * files * _KEY_BYTES))
+
     def change(
         self, upserts: DataFrame | None = None, patches: DataFrame | None = None, deletes: DataFrame | None = None, version: str | None = None,
     ) -> list[int]:

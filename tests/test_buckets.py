@@ -9,7 +9,9 @@ from pyspark.sql.types import StructType
 
 from affinis.operators import search
 from affinis.operators.day_sketches import DaySketches
+from affinis.operators import text_index
 from affinis.operators.text_index import TextIndex
+from affinis.sources import buckets
 from affinis.sources.buckets import BucketTable
 
 SCHEMA = "id long, name string, score double"
@@ -127,6 +129,28 @@ def test_a_search_prunes_by_words(spark, tmp_path):
     assert "StringStartsWith(token,b)" in plan and "EqualTo(token,a)" in plan
 
 
+def test_tokens_are_not_moved_when_the_index_is_built(spark, tmp_path):
+    texts = ["b a b", None, "", "刀 c 刀 c c", "b a b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, name string")
+    made = text_index.postings(docs)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.id, r.token, list(r.positions)) for r in made.collect())
+    assert got == [(0, "a", [1]), (0, "b", [0, 2]), (3, "c", [1, 3, 4]), (3, "刀", [0, 2]), (4, "a", [1]), (4, "b", [0, 2])]
+    # A document given twice matches once, and one task makes the rows of a bounded part of the texts.
+    found = TextIndex(spark, str(tmp_path / "i"), buckets=2)
+    found.create(docs.unionAll(docs))
+    assert rows_of(found.matches("a b")) == [(0, 2), (4, 2)]
+
+
+def test_sources_of_a_large_bucket_go_to_several_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(buckets, "SOURCE_BYTES", 100)
+    t = BucketTable(spark, str(tmp_path / "t"), StructType.fromDDL("id long, n int"), buckets=2)
+    t.create_from(spark.range(200), lambda rows: rows.select("id", F.explode(F.array(F.lit(1), F.lit(2))).alias("n")), F.lit(8))
+    assert t.read().count() == 400 and len(t.of_keys(spark.createDataFrame([(7,)], "id long")).collect()) == 2
+    assert t.read().where("n = 1").select("id").distinct().count() == 200
+    assert len([f for f in t.read().inputFiles()]) >= 16
+
+
 # Sketches by day
 
 def test_merged_sketches_are_within_their_error(spark, tmp_path):
