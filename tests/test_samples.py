@@ -196,3 +196,14 @@ def test_ratings_too_large_for_exact_sums_keep_their_deviation(spark):
     for hot_rows in (10**9, 0):
         rows = history.add_running_stats(df, hot_rows=hot_rows, piece_rows=2).where("event_id = 3").first()
         assert abs(rows["user_rating_stddev"] - (1 / 3) ** 0.5) < 1e-5
+
+
+def test_pieces_move_few_rows_and_are_worked_on_once(spark, monkeypatch):
+    """Rows are carried only from pieces that another one of their user follows; figures are summed from stored rows."""
+    plan_of, plans, keep = lambda df: df._jdf.queryExecution().optimizedPlan().toString(), [], history.settled
+    monkeypatch.setattr(history, "settled", lambda df: plans.append(plan_of(df)) or keep(df))
+    df = samples.add_label(frame(spark, skewed(400)))
+    history.add_user_features(df, hot_rows=20, piece_rows=60)
+    assert plans and not any("Window" in p for p in plans)
+    cut = pieces.cut(df, "user_id", history.TIE_BREAK, 60)
+    assert "LeftSemi" in plan_of(pieces.with_carried_rows(cut, "user_id", history.TIE_BREAK, 5))
