@@ -152,3 +152,39 @@ def test_rows_are_final_and_nothing_is_broadcast(spark, sizes):
     above = found._jdf.queryExecution().optimizedPlan().toString()
     if sizes.get("resident_bytes") == 0:
         assert "Window" not in above and "Join" not in above
+
+
+def test_chunks_of_a_task_share_one_pass_of_the_items(spark):
+    items, queries = clustered(160, 8), clustered(160, 9)
+    q, i = spark.createDataFrame(queries, EMB), spark.createDataFrame(items, EMB)
+    found = top_k_cosine(q, i, 4, item_block_rows=16, query_block_rows=8, resident_bytes=0)
+    # 20 chunks of 8 queries in two rounds of four tasks.
+    assert found.rdd.getNumPartitions() == 8
+    same(result(found), brute(queries, items, 4))
+
+
+@pytest.mark.parametrize("early", [0, 25])
+def test_screening_in_single_precision_loses_nothing(monkeypatch, early):
+    """Near ties closer than single precision can tell, repeated vectors and ones without a direction."""
+    from affinis.operators import scoring
+
+    monkeypatch.setattr(scoring, "_EARLY", early)
+    r = np.random.default_rng(10)
+    base = r.normal(size=(40, 16))
+    vectors = np.concatenate([base[r.integers(0, 40, 4000)] * (1 + r.normal(size=(4000, 1)) ** 2), r.normal(size=(2000, 16))])
+    vectors[:2000] += r.normal(size=(2000, 16)) * 1e-7
+    vectors = vectors[r.permutation(6000)]
+    vectors[::97] = 0.0
+    batch = _asked(64, 16, 11)
+    asked = np.frombuffer(b"".join(batch.column("vector").to_pylist())).reshape(64, 16)
+    chunk, kinds = scoring._Chunk([batch], 50, False, 256), []
+    add = chunk.best.add
+    monkeypatch.setattr(chunk.best, "add", lambda cos, *more: kinds.append(cos.dtype) or add(cos, *more))
+    for s in range(0, 6000, 1000):
+        chunk.meet(np.arange(s, s + 1000), vectors[s: s + 1000].ravel(), np.arange(1001) * 16)
+    got = {}
+    for b in chunk.found():
+        for q, i, score in zip(*(b.column(c).to_pylist() for c in ("query_id", "item_id", "score"))):
+            got.setdefault(q, []).append((i, score))
+    same(got, brute(list(enumerate(asked)), list(enumerate(vectors)), 50, {(q, i) for q in range(64) for i in (q, q + 1)}))
+    assert kinds[-1] == np.float32
