@@ -150,3 +150,29 @@ def test_deepfm_holds_weights_of_trained_ids_only(spark, folder, monkeypatch):
     events = queries.t.interactions(spark, folder)
     assert widths[0]["user_buckets"] <= events.select("user_id").distinct().count() < queries.t.all_users(spark, folder).count()
     assert widths[0]["item_buckets"] <= events.select("item_id").distinct().count()
+
+
+def test_shards_fill_the_slots_while_they_stay_large():
+    assert [embeddings.shards(n, 12) for n in (0, 9_000, 15_000, 90_000, 540_000)] == [1, 1, 3, 12, 36]
+    assert embeddings.shards(90_000) == 5
+
+
+def test_vectors_are_converted_once_a_user_or_item(spark):
+    rows = spark.createDataFrame([(u, i, 1) for u in range(3) for i in range(3)], "user_id long, item_id long, user_rated_item_1 long")
+    emb = spark.createDataFrame([(0, [1.0, 2.0]), (1, None)], "id long, emb array<double>")
+    got = encoders.with_model_inputs(rows, emb, emb, size=2)
+    for r in got.collect():
+        assert r["user_vector"].toArray().tolist() == ([1.0, 2.0] if r["user_id"] == 0 else [0.0, 0.0])
+        assert r["item_vector"].toArray().tolist() == ([1.0, 2.0] if r["item_id"] == 0 else [0.0, 0.0])
+    joined = got._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)
+    # Above the joins only the zeros for a missing vector are left.
+    assert "_emb" not in joined[0] and "emb#" not in joined[0] and joined[1].count("coalesce(emb#") == 2
+
+
+def test_split_reads_no_text_for_times(spark):
+    rows = spark.range(200).select("id", F.timestamp_micros(F.col("id") * 40_000_000_000 - 10**12).alias("ts"))
+    by_time = samples.split_by_time(rows, error=0.0)
+    by_text = samples.split_by_time(rows.withColumn("ts", F.col("ts").cast("string")), error=0.0)
+    assert [[r["id"] for r in f.orderBy("id").collect()] for f in by_time] == [[r["id"] for r in f.orderBy("id").collect()] for f in by_text]
+    assert "try_to_timestamp" not in by_time[0]._jdf.queryExecution().analyzed().toString()
+    assert "gettimestamp" not in by_time[0]._jdf.queryExecution().optimizedPlan().toString().lower()
