@@ -122,3 +122,18 @@ def test_vector_codecs_round_trip(spark):
     line = df.select(vectors.to_line(F.col("id"), F.col("emb")).alias("l"), vectors.to_commas(F.col("emb")).alias("c"))
     back = line.select(vectors.line_id(F.col("l")), vectors.line_vector(F.col("l")), vectors.from_commas(F.col("c"))).first()
     assert tuple(back) == (7, v, v)
+
+
+def test_favourite_tags_sort_without_a_comparator_for_each_pair(spark):
+    df = spark.createDataFrame([([["b", None, "a"], None, ["b"]],), ([],), ([[None]],), (None,)], "t array<array<string>>")
+    made = df.select(arrays.favourite_tags(F.col("t")).alias("f"))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array(" in plan and "array_sort(" not in plan
+    got = [r["f"] for r in made.collect()]
+    assert got == [r["f"] for r in df.select(_sorted_by_comparator(F.col("t")).alias("f")).collect()] and got[1] == []
+
+
+def _sorted_by_comparator(tag_lists):
+    tags = F.filter(F.flatten(tag_lists), lambda x: x.isNotNull())
+    pairs = F.transform(F.array_distinct(tags), lambda x: F.struct((-F.size(F.filter(tags, lambda y: y == x))).alias("n"), x.alias("x")))
+    return F.transform(F.array_sort(pairs), lambda e: e["x"])
