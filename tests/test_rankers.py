@@ -176,3 +176,13 @@ def test_split_reads_no_text_for_times(spark):
     assert [[r["id"] for r in f.orderBy("id").collect()] for f in by_time] == [[r["id"] for r in f.orderBy("id").collect()] for f in by_text]
     assert "try_to_timestamp" not in by_time[0]._jdf.queryExecution().analyzed().toString()
     assert "gettimestamp" not in by_time[0]._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_only_items_with_a_vector_reach_the_wide_sums(spark):
+    inter = spark.createDataFrame([(None, 1, 2.0), (1, 1, 1.0), (1, None, 3.0), (1, 9, 4.0), (2, 9, 1.0)], "user_id long, item_id long, w double")
+    emb = spark.createDataFrame([(1, [8.0, 0.0]), (9, None)], "id long, emb array<double>")
+    found = embeddings.user_vectors(inter, emb, F.col("w"))
+    assert {r["id"]: r["emb"] for r in found.collect()} == {None: [8.0, 0.0], 1: [1.0, 0.0]}
+    # Every pair of user and item went into them by an outer join.
+    assert "LeftOuter" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert embeddings.user_vectors(inter, emb.where("id = 9"), F.col("w")).count() == 0
