@@ -4,6 +4,7 @@ import datetime as dt
 import random
 import statistics
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -135,3 +136,37 @@ def test_state_needs_no_setting_of_the_session(spark, tmp_path):
         assert spark.conf.get(name) == plain
     finally:
         spark.conf.set(name, before)
+
+
+def test_a_task_gathers_its_batches_before_it_hands_on_rows():
+    def batch(k):
+        n = 40
+        return pa.record_batch({
+            "user_id": pa.array([i % 4 for i in range(n)]), "event_id": pa.array([k * n + i for i in range(n)]), "item_id": pa.array([None, 2] * 20, pa.int64()),
+            "rating": pa.array([None, 7.0, 8.0, 9.0] * 10), "liked": pa.array([False, True] * 20), "us": pa.array([k * n + i for i in range(n)])})
+
+    (part,) = user_state._partials(batch(k) for k in range(30))
+    assert part.column("user_id").to_pylist() == [0, 1, 2, 3] and part.column("events").to_pylist() == [300] * 4
+    assert part.column("rated").to_pylist() == [0, 300, 300, 300] and part.column("mean").to_pylist() == [0, 7, 8, 9]
+    assert part.column("ids").to_pylist()[1] == [4 * i + 1 for i in range(300 - user_state.KEPT, 300)] and set(part.column("items").to_pylist()[0]) == {None}
+
+
+def test_equal_times_go_by_id_and_none_comes_first():
+    rows = np.array([(5, 2, 1, True, False, False), (5, 0, 3, True, True, False), (5, 1, 2, False, False, True), (4, 9, 4, True, False, False)], user_state._ROW)
+    assert user_state.newest(rows)["item"].tolist() == [4, 3, 2, 1] and user_state.newest(rows, 2)["item"].tolist() == [2, 1]
+
+
+def test_a_batch_opens_one_store_for_each_slot(spark, tmp_path):
+    before = spark.conf.get(user_state._PARTITIONS)
+    spark.conf.set(user_state._PARTITIONS, "24")
+    try:
+        write(spark, [(1, 1, 5, 8, at(1)), (2, 1, 6, 2, at(2)), (None, 1, None, 7, at(2))], str(tmp_path / "in"))
+        table = RevisionTable(spark, str(tmp_path / "out"), user_state.FEATURES)
+        stream = refresh.ingest(refresh.read(spark, str(tmp_path / "in"), refresh.INTERACTIONS), "36500 days")
+        user_state.keep_state_features(stream, table, str(tmp_path / "checkpoint")).awaitTermination()
+        assert [tuple(r)[:3] + (r.user_rating_count,) for r in table.latest("user_id").collect()] == [(1, None, 5, 3)]
+        assert spark.conf.get(user_state._PARTITIONS) == "24"
+        slots = spark.sparkContext.defaultParallelism
+        assert f'"{user_state._PARTITIONS}":"{slots}"' in (tmp_path / "checkpoint" / "offsets" / "0").read_text()
+    finally:
+        spark.conf.set(user_state._PARTITIONS, before)
