@@ -117,13 +117,14 @@ class Best:
         # In millionths; everything but a masked item is above.
         self.least = np.full(n_queries, -5 * _TOP, np.int64)
 
-    def add(self, rough: np.ndarray, first: int, exact, slack: float, at_once: int) -> None:
-        """Cosines of all queries with the items at places from ``first``; -inf is no item.
+    def add(self, rough: np.ndarray, first: int | np.ndarray, exact, slack: float, at_once: int) -> None:
+        """Cosines of all queries with the items at places from ``first``, or at these ascending places; -inf is no item.
 
         The ``rough`` ones are off by less than ``slack`` and only tell which can matter; ``exact`` gives the true ones of
         some queries and columns, ``at_once`` of them together.
         """
-        if first + rough.shape[1] > MAX_ITEMS:
+        places = first if isinstance(first, np.ndarray) else first + np.arange(rough.shape[1])
+        if len(places) and places[-1] >= MAX_ITEMS:
             raise ValueError(f"more than {MAX_ITEMS} items")
         bound = ((self.least - 1) / _TOP - slack).astype(rough.dtype)
         found = np.flatnonzero(rough > bound[:, None])
@@ -132,7 +133,7 @@ class Best:
             micro = np.rint(exact(row, column) * _TOP).astype(np.int64)
             good = micro > self.least[row]
             row, column, micro = row[good], column[good], micro[good]
-            self.new.append(((row << 51) | ((_TOP - micro) << 29) | (column + first)).astype(np.uint64))
+            self.new.append(((row << 51) | ((_TOP - micro) << 29) | places[column]).astype(np.uint64))
             self.waiting += len(row)
         if self.waiting >= self.n * self.k:
             self._decide()

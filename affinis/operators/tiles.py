@@ -1,15 +1,16 @@
-"""Exact top-k by cosine in tiles: only queries that an item tile can still help are shipped to it.
+"""Exact top-k by cosine in tiles: only item tiles that can still help are shipped to the queries.
 
 Items are dealt into tiles around pivots, and tiles whose pivots lie near each other into groups of bounded size. The angle
 between a query and a pivot, less the tile's radius, bounds every score in the tile, and the best of a group's tiles bounds the
-group. Each query visits groups in the order of these bounds, in rounds of twice as many as the round before, and carries its
-k-th score so far from round to round: a group none of whose tiles reaches it is never visited, and a query that no group
-left can help takes no part in further rounds. Rounds so grow with the logarithm of the number of groups.
-
-At scale: a query travels to each group it visits and never to the others, however many tiles that group has; items travel only in
-rounds in which their group is visited, once for each ``queries_per_task`` queries of it, so a group that all
-queries want is spread over tasks. A task holds one block of items while the queries pass. The driver holds at most ``MAX_TILES``
-pivots and radii however large the catalogue is. Items a query must not get are masked where they are scored, so they widen
+group. Each query visits groups in the order of these bounds, in three rounds: the first few, some more, all that are left. It carries
+its k-th score so far and the groups it has visited from round to round: a group none of whose tiles reaches that score is never visited, and
+a query that no group left can help takes no part in further rounds.
+
+At scale: queries that lie near the same pivots lie in one chunk. A chunk's queries travel once a round, and the items of a group travel once to
+each chunk of which some query visits the group: what is shipped does not grow with queries times groups. Chunks
+hold up to 32,768 queries (``scoring.passes``); with fewer chunks than slots, the items of each are split by their id. A task keeps
+the best rows of its queries, one block of scores and the ids of the items that have passed. The driver holds at most ``MAX_TILES``
+pivots and radii and as many counts, however large the catalogue is. Items a query must not get are masked where they are scored, so they widen
 nothing; they travel with the query as a list. Rounds are stored, so a lost executor repeats no earlier round.
 
 Defined results, those of ``operators.scoring``: rows without a vector take no part; scores have six decimals, equal ones rank
@@ -27,17 +28,20 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from affinis import settings
-from affinis.operators.blocks import IRREGULAR, SLACK, nearest_cell, rows_at_once, unit_rows
+from affinis.operators.blocks import IRREGULAR, MAX_QUERIES, SLACK, nearest_cell, rows_at_once, unit_matrices, unit_rows
 from affinis.operators.latest import top_rows
-from affinis.operators.scoring import _BLOCK_NUMBERS, FOUND, _Chunk, _numbers
-from affinis.session import settled
+from affinis.operators.scoring import FOUND, _Chunk, _narrow, _numbers, passes
+from affinis.session import offered, settled
 
 # Tasks get these functions by value and need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MAX_TILES = 4096
-_HITS = "query_id long, item_id long, score double"
-_PACK = "tile int, block int, ids array<long>, vectors array<binary>, taken array<array<long>>, least array<double>"
+_ASKED = "chunk int, id long, vector binary, taken array<long>, visited binary, now binary, least double"
+# Groups that a query visits in each of the first rounds; a last round takes all that are left.
+_ROUNDS = (2, 8)
+# Queries that are scored together.
+_SIDE_ROWS = 1024
 _WIDE = np.dtype("<f8")
 
 
@@ -107,76 +111,168 @@ def _placed(items: DataFrame, pivots: np.ndarray) -> DataFrame:
     return items.mapInPandas(place, "tile int, angle double, id long, emb array<double>")
 
 
-def _dealt(plan: Plan):
-    """Items with their group and block; a group of more than a block is split by a hash of the id."""
+def _dealt(plan: Plan, kind: np.dtype, parts: int):
+    """Items with the place of their group in the plan, and one of ``parts`` by a hash of the id."""
     def deal(batches):
         for pdf in batches:
             tile, _ = nearest_cell(pdf["emb"].to_numpy(), plan.pivots)
-            group = np.array([plan.group_of[t] for t in tile.tolist()], np.int32)
-            n = np.array([plan.blocks[g] for g in group.tolist()], np.uint64)
+            at = np.searchsorted(plan.tile, [plan.group_of[t] for t in tile.tolist()])
             mixed = (pdf["id"].to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            vectors = [np.asarray(e, _WIDE).tobytes() for e in pdf["emb"]]
-            yield pd.DataFrame({"tile": group, "block": (mixed % n).astype(np.int32), "id": pdf["id"], "vector": vectors})
+            vectors = [np.asarray(e, kind).tobytes() for e in pdf["emb"]]
+            yield pd.DataFrame({"tile": at.astype(np.int32), "part": (mixed % np.uint64(parts)).astype(np.int32), "id": pdf["id"], "vector": vectors})
     return deal
 
 
+def _near(plan: Plan):
+    """The queries with the group of their nearest pivot, and their vectors as bytes."""
+    def place(batches):
+        for pdf in batches:
+            tile, _ = nearest_cell(pdf["emb"].to_numpy(), plan.pivots)
+            near = [plan.group_of.get(t, IRREGULAR) for t in tile.tolist()]
+            yield pd.DataFrame({"near": near, "id": pdf["id"], "vector": [np.asarray(e, _WIDE).tobytes() for e in pdf["emb"]], "taken": pdf["taken"]})
+    return place
+
+
+class _Spread:
+    """Queries along their nearest groups in chunks of about the same size; a large group is spread over several by a hash of the id."""
+
+    def __init__(self, counts: dict[int, int], chunks: int):
+        self.group = np.array(sorted(counts), np.int64)
+        n = np.array([counts[g] for g in self.group.tolist()], np.float64)
+        self.size, self.first, self.chunks = n, np.cumsum(n) - n, chunks
+        self.total = max(1.0, n.sum())
+
+    def __call__(self, near: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.group, near)
+        share = ((ids.view(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)).astype(np.float64) / 2.0**32
+        return np.minimum((self.first[at] + share * self.size[at]) * self.chunks / self.total, self.chunks - 1).astype(np.int32)
+
+
 def _visits(plan: Plan, first: int, last: int, pack_rows: int):
-    """Queries of a round in packs by group and block. ``least`` is a query's k-th score so far, null below k."""
+    """Which queries visit which group in a round, in packs. ``least`` is a query's k-th score so far, null below k; of
+    groups already ``visited``, where that is given, none is visited again."""
     def route(batches):
         step = rows_at_once(len(plan.member))
         for pdf in (whole.iloc[s: s + step] for whole in batches for s in range(0, len(whole), step)):
-            embs = list(pdf["emb"])
-            bounds = plan.bounds(embs)
+            bounds = plan.bounds(list(pdf["emb"]))
+            if "visited" in pdf:
+                bounds[np.stack(pdf["visited"])] = -np.inf
             order = np.argsort(-bounds, axis=1, kind="stable")[:, first:last]
             least = pdf["least"].to_numpy(np.float64, na_value=np.nan)
-            reach = ~(np.take_along_axis(bounds, order, axis=1) < least[:, None])
+            reached = np.take_along_axis(bounds, order, axis=1)
+            reach = ~(reached < least[:, None]) & (reached > -np.inf)
             for place in np.unique(order[reach]):
                 rows = np.flatnonzero(((order == place) & reach).any(axis=1))
-                tile = int(plan.tile[place])
                 for s in range(0, len(rows), pack_rows):
-                    pack = rows[s: s + pack_rows]
-                    n = plan.blocks[tile]
-                    yield pd.DataFrame({
-                        "tile": [tile] * n, "block": list(range(n)), "ids": [pdf["id"].to_numpy()[pack]] * n,
-                        "vectors": [[np.asarray(embs[i], _WIDE).tobytes() for i in pack]] * n, "taken": [[pdf["taken"].iloc[i] for i in pack]] * n,
-                        "least": [least[pack]] * n})
+                    yield pd.DataFrame({"tile": [int(plan.tile[place])], "ids": [pdf["id"].to_numpy()[rows[s: s + pack_rows]]]})
     return route
 
 
-def _scores(k: int, exclude_self: bool):
-    """Best rows of each query in one block of items, those below the query's k-th score left out. A block's items come first."""
+def _bits(column, width: int) -> np.ndarray:
+    """Rows of bytes as rows of flags."""
+    return np.unpackbits(np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1), axis=1, count=width).astype(bool)
+
+
+def _bytes(flags: np.ndarray) -> list:
+    return [row.tobytes() for row in np.packbits(flags, axis=1)]
+
+
+def _chosen(plan: Plan, most: int, pack_rows: int):
+    """The queries that visit groups ``now``, at most ``most`` of those not ``visited``; the others can't be helped any more."""
+    def choose(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            visited = _bits(pdf["visited"].tolist(), len(plan.tile))
+            now = np.zeros_like(visited)
+            frame = pd.DataFrame({"id": np.arange(len(pdf)), "emb": [np.frombuffer(v, _WIDE) for v in pdf["vector"]], "least": pdf["least"].to_numpy(), "visited": list(visited)})
+            for pack in _visits(plan, 0, most, pack_rows)(iter([frame])):
+                for tile, rows in zip(pack["tile"], pack["ids"]):
+                    now[rows, np.searchsorted(plan.tile, tile)] = True
+            out = pdf.assign(visited=_bytes(visited | now), now=_bytes(now))
+            yield out[now.any(axis=1)][[c.split()[0] for c in _ASKED.split(", ")]]
+    return choose
+
+
+def _wanted_groups(width: int):
+    """The groups that some query of a chunk visits now."""
+    def run(batches):
+        for pdf in batches:
+            for chunk, rows in pdf.groupby("chunk")["now"]:
+                found = np.flatnonzero(_bits(rows.tolist(), width).any(axis=0))
+                yield pd.DataFrame({"chunk": np.full(len(found), chunk, np.int32), "tile": found.astype(np.int32)})
+    return run
+
+
+class _Side:
+    """Queries scored together, and the groups each of them visits."""
+
+    def __init__(self, table: pa.Table, now: np.ndarray, k: int, exclude_self: bool, passed: list):
+        self.chunk = _Chunk(table.to_batches(), k, exclude_self, settings.ITEM_BLOCK_ROWS)
+        self.chunk.seen = passed
+        self.now, self.some, self.all = now, now.any(axis=0), now.all(axis=0)
+        least = table.column("least").to_numpy().astype(np.float64)
+        # An equal score may still come first by its id.
+        known = ~np.isnan(least)
+        self.chunk.best.least[known] = np.rint(least[known] * 1e6).astype(np.int64) - 1
+
+    def meet(self, tile: np.ndarray, ids: np.ndarray, units: list, narrow: tuple | None, first: int) -> None:
+        found, rows = np.flatnonzero(self.some[tile]), self.chunk.item_rows
+        for s in range(0, len(found), rows):
+            at = found[s: s + rows]
+            some = []
+            for width, place, unit in units:
+                mine = at if len(place) == len(ids) else np.flatnonzero(np.isin(place, at))
+                some += [(width, np.searchsorted(at, place[mine]), unit[mine])] if len(mine) else []
+            hidden = None if self.all[tile[at]].all() else ~self.now[:, tile[at]]
+            part = None if narrow is None else (narrow[0][at], np.flatnonzero(np.isin(at, narrow[1])))
+            self.chunk._block(ids[at], some, part, first + at, hidden)
+
+
+def _scores(k: int, exclude_self: bool, kind: np.dtype, width: int):
+    """Best rows of each query among the items that come to its task, those below the query's k-th score left out. Queries come
+    first, then the items in order of id."""
+    rows = max(1, min(_SIDE_ROWS, settings.CHUNK_KEYS // k, MAX_QUERIES))
+
     def runs(batches):
         for batch in batches:
-            keys = [batch.column(c).to_numpy() for c in ("tile", "block", "repeat", "kind")]
-            new = np.zeros(batch.num_rows, bool)
-            new[:1] = True
-            for key in keys:
-                new[1:] |= key[1:] != key[:-1]
-            starts = np.flatnonzero(new)
-            for a, b in zip(starts, [*starts[1:], batch.num_rows]):
-                yield tuple(int(key[a]) for key in keys), batch.slice(a, b - a)
+            key = batch.column("place").to_numpy().astype(np.int64) * 2 + batch.column("kind").to_numpy()
+            starts = np.flatnonzero(np.diff(key, prepend=-1))
+            for a, b in zip(starts, [*starts[1:], len(key)]):
+                yield int(key[a]) // 2, bool(key[a] % 2), batch.slice(a, b - a)
+
+    def side_by_side(asked, passed):
+        """Queries that visit the same groups first lie together."""
+        table = pa.Table.from_batches(asked)
+        now = _bits(table.column("now").to_pylist(), width)
+        order = np.lexsort(now.T[::-1])[::-1] if width < 64 else np.argsort(now.argmax(axis=1), kind="stable")
+        table, now = table.take(pa.array(order)), now[order]
+        return [_Side(table.slice(s, rows), now[s: s + rows], k, exclude_self, passed) for s in range(0, len(now), rows)]
 
     def score(batches):
-        at, items, held = None, [], None
-        for (*where, query), part in runs(batches):
-            if where != at:
-                at, items, held = where, [], None
-            if not query:
-                items.append(part)
+        number, asked, sides, passed, n = None, [], [], [], 0
+        for at, item, part in runs(batches):
+            if at != number:
+                for side in sides:
+                    yield from side.chunk.found()
+                number, asked, sides, passed, n = at, [], [], [], 0
+            if not item:
+                asked.append(part)
+                continue
+            if asked:
+                sides, asked = side_by_side(asked, passed), []
+            if not sides:
                 continue
-            if held is None:
-                block = pa.Table.from_batches(items).combine_chunks()
-                held = block.column("id").to_numpy(), *_numbers(block.column("vector").chunk(0), _WIDE)
-            step = max(1, min(4096, _BLOCK_NUMBERS // len(held[0]), settings.CHUNK_KEYS // k))
-            for s in range(0, part.num_rows, step):
-                some = part.slice(s, step)
-                chunk = _Chunk([some], k, exclude_self, len(held[0]))
-                least = some.column("least").to_numpy(zero_copy_only=False).astype(np.float64)
-                # An equal score may still come first by its id.
-                known = ~np.isnan(least)
-                chunk.best.least[known] = np.rint(least[known] * 1e6).astype(np.int64) - 1
-                chunk.meet(*held)
-                yield from chunk.found()
+            # A copy: what the worker got is not held.
+            ids, tile = np.array(part.column("id")), part.column("tile").to_numpy()
+            units = unit_matrices(*_numbers(part.column("vector"), kind))
+            narrow = _narrow(units[0][2]) if len(units) == 1 and units[0][0] else None
+            for side in sides:
+                side.meet(tile, ids, units, narrow, n)
+            passed.append(ids)
+            n += len(ids)
+        for side in sides:
+            yield from side.chunk.found()
     return score
 
 
@@ -187,35 +283,53 @@ def top_k_tiles(
     """``query_id, item_id, score, rank`` of the ``k`` most similar items of each query."""
     items = settled(items.where(F.col("emb").isNotNull()).select("id", "emb"))
     plan = _plan(items, tile_rows)
-    dealt = settled(items.mapInPandas(_dealt(plan), "tile int, block int, id long, vector binary"))
+    width = len(plan.tile)
     wanted = queries.where(F.col("emb").isNotNull()).select("id", "emb")
     if exclude is None:
         wanted = wanted.withColumn("taken", F.lit(None).cast("array<long>"))
     else:
         pairs = exclude.where(F.col("query_id").isNotNull() & F.col("item_id").isNotNull())
         wanted = wanted.join(pairs.groupBy(F.col("query_id").alias("id")).agg(F.collect_set("item_id").alias("taken")), "id", "left")
-    wanted = settled(wanted)
-    repeats = max(1, -(-wanted.count() // queries_per_task))
-    slots = 2 * items.sparkSession.sparkContext.defaultParallelism
+    asked = settled(wanted.mapInPandas(_near(plan), "near int, id long, vector binary, taken array<long>"))
+    # At most MAX_TILES rows.
+    counts = {r["near"]: r["count"] for r in asked.groupBy("near").count().collect()}
+    slots, n = items.sparkSession.sparkContext.defaultParallelism, sum(counts.values())
+    chunks = max(passes(n, _SIDE_ROWS, k, slots), -(-n // queries_per_task))
+    parts, spread = max(1, slots // chunks), _Spread(counts, chunks)
+    exact = F.forall("emb", lambda x: x.cast("float").cast("double") == x)
+    kind = np.dtype("<f4") if items.agg(F.coalesce(F.min(exact), F.lit(False))).first()[0] else _WIDE
+    dealt = settled(items.mapInPandas(_dealt(plan, kind, parts), "tile int, part int, id long, vector binary"))
+
+    def begin(batches):
+        for pdf in batches:
+            nothing = bytes(-(-width // 8))
+            yield pdf.assign(chunk=spread(pdf["near"].to_numpy(np.int64), pdf["id"].to_numpy(np.int64)), visited=[nothing] * len(pdf), now=[nothing] * len(pdf), least=np.nan)[
+                [c.split()[0] for c in _ASKED.split(", ")]]
+
+    asked = asked.mapInPandas(begin, _ASKED)
     order = [F.col("score").desc_nulls_last(), F.col("item_id")]
-    best = items.sparkSession.createDataFrame([], f"{_HITS}, rank int")
-    first, last = 0, 1
-    while first < len(plan.tile):
-        # The k-th score of queries that have k; a null one bounds nothing.
-        least = best.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
-        asked = wanted.join(least, "id", "left")
-        packs = asked.mapInPandas(_visits(plan, first, last, pack_rows), _PACK)
-        one = F.explode(F.arrays_zip("ids", "vectors", "taken", "least")).alias("q")
-        asking = packs.select("tile", "block", one).select(
-            "tile", "block", F.pmod(F.xxhash64("q.ids"), F.lit(repeats)).cast("int").alias("repeat"), F.lit(1).alias("kind"),
-            F.col("q.ids").alias("id"), F.col("q.vectors").alias("vector"), "q.taken", "q.least")
-        asked_of = settled(asking)
-        visited = asked_of.select("tile", "block", "repeat").distinct()
-        offered = dealt.join(visited, ["tile", "block"]).select(
-            "tile", "block", "repeat", F.lit(0).alias("kind"), "id", "vector", F.lit(None).cast("array<long>").alias("taken"), F.lit(None).cast("double").alias("least"))
-        place = ["tile", "block", "repeat"]
-        together = offered.unionByName(asked_of).repartition(slots, *place).sortWithinPartitions(*place, "kind", "id")
-        found = together.mapInArrow(_scores(k, exclude_self), FOUND).drop("rank")
-        best = settled(top_rows(best.select("query_id", "item_id", "score").unionByName(found), "query_id", order, k))
-        first, last = last, last + 2 * (last - first)
+    best, left = None, width
+    for most in (*_ROUNDS, width):
+        if left <= 0:
+            break
+        left -= most
+        if best is not None:
+            # The k-th score of queries that have k; a null one bounds nothing.
+            least = best.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
+            asked = asked.drop("least").join(least, "id", "left").select(*asked.columns)
+        asked = settled(asked.mapInPandas(_chosen(plan, most, pack_rows), _ASKED))
+        groups = offered(settled(asked.select("chunk", "now").mapInPandas(_wanted_groups(width), "chunk int, tile int").distinct()))
+        place = (F.col("chunk") * parts + F.col("part")).alias("place")
+        part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+        nobody = [F.lit(None).cast(t).alias(c) for c, t in (("taken", "array<long>"), ("now", "binary"), ("least", "double"))]
+        passing = dealt.join(groups, "tile").select(place, F.lit(1).alias("kind"), "id", "vector", "tile", *nobody)
+        asking = asked.select("*", part).select(place, F.lit(0).alias("kind"), "id", "vector", F.lit(None).cast("int").alias("tile"), "taken", "now", "least")
+        together = asking.unionByName(passing).repartitionById(chunks * parts, "place").sortWithinPartitions("place", "kind", "id")
+        found = together.mapInArrow(_scores(k, exclude_self, kind, width), FOUND)
+        if best is not None or parts > 1:
+            hits = found.drop("rank") if best is None else found.drop("rank").unionByName(best.drop("rank"))
+            found = top_rows(hits, "query_id", order, k)
+        best = settled(found)
+    if best is None:
+        return items.sparkSession.createDataFrame([], FOUND)
     return best.select("query_id", "item_id", "score", "rank")

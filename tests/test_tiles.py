@@ -74,3 +74,31 @@ def test_groups_hold_whole_tiles_up_to_their_size():
     for g in set(groups.drop(tiles.IRREGULAR)):
         mine = [t for t in range(50) if plan.group_of[t] == g]
         assert np.allclose(many[:, list(plan.tile).index(g)], one[:, mine].max(axis=1))
+
+
+def test_a_query_travels_once_a_round_however_many_groups_it_visits(spark, monkeypatch):
+    """Sixteen groups of ten items, all of them wanted: what is stored and shipped of a round are the queries, not queries times groups."""
+    monkeypatch.setattr(tiles.settings, "ITEM_BLOCK_ROWS", 10)
+    stored, settled = [], tiles.settled
+
+    def counted(df):
+        out = settled(df)
+        stored.append((set(out.columns), out.count()))
+        return out
+
+    monkeypatch.setattr(tiles, "settled", counted)
+    r = np.random.default_rng(5)
+    items, queries = [(i, r.normal(size=6).tolist()) for i in range(160)], [(1000 + i, r.normal(size=6).tolist()) for i in range(40)]
+    q, i = spark.createDataFrame(queries, EMB), spark.createDataFrame(items, EMB)
+    same(result(top_k_tiles(q, i, 12, tile_rows=10, pack_rows=8)), brute(queries, items, 12))
+    asked = [n for columns, n in stored if {"vector", "taken"} <= columns]
+    assert len(asked) > 2 and max(asked) == 40
+
+
+def test_queries_of_a_chunk_lie_near_each_other_and_large_groups_are_spread():
+    spread = tiles._Spread({0: 100, 5: 1000, 7: 100}, 6)
+    ids = np.arange(1200)
+    near = np.repeat([0, 5, 7], [100, 1000, 100])
+    chunk = spread(near, ids)
+    assert set(chunk[:100]) == {0} and set(chunk[-100:]) == {5} and set(chunk) == set(range(6))
+    assert np.bincount(chunk).max() < 300
