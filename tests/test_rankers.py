@@ -186,3 +186,36 @@ def test_only_items_with_a_vector_reach_the_wide_sums(spark):
     # Every pair of user and item went into them by an outer join.
     assert "LeftOuter" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert embeddings.user_vectors(inter, emb.where("id = 9"), F.col("w")).count() == 0
+
+
+def test_every_tag_trained_on_gets_a_vector(spark):
+    """Also one that comes in a single distinct list, whatever the number of its samples."""
+    tags = [("common", "a", ""), ("common", "b", ""), ("alone", "c", "")]
+    train = spark.createDataFrame([(list(x), ["u", "v", "", "", ""]) for x in tags * 5], "item_tags array<string>, user_tags array<string>")
+    stages = rankers.wide_and_deep(spark, size=4).getStages()
+    (item_stage, _) = [s for s in stages if isinstance(s, rankers.Word2Vec)]
+    model = rankers.fit(rankers.Pipeline(stages=[item_stage]), train)
+    assert {r["word"] for r in model.stages[0].getVectors().collect()} == {"common", "alone", "a", "b", "c", ""}
+
+
+def test_candidates_with_large_ids_are_scored_too(spark):
+    from affinis.operators import payload
+
+    asked = spark.createDataFrame([(1, 10**9), (1, 5), (1, 6)], "user_id long, item_id long")
+    known = spark.createDataFrame([(10**9,), (5,)], "item_id long")
+    ids = lambda df: sorted(r["item_id"] for r in df.collect())
+    assert ids(payload.eligible(asked, known)) == [5] and ids(payload.eligible(asked, known, None)) == [5, 10**9]
+
+
+def test_recommend_wide_deep_leaves_no_candidate_out_for_its_id(spark, folder, monkeypatch):
+    from workload import queries
+
+    asked = []
+    monkeypatch.setattr(queries, "_model_frames", lambda *_: ((None, None), None, None, None))
+    monkeypatch.setattr(queries, "_id_ranges", lambda *_: {})
+    for module, name in ((queries.rankers, "fit"), (queries.rankers, "wide_and_deep"), (queries.features, "latest_item_features"),
+                         (queries.features, "latest_user_features"), (queries.rec, "recommend")):
+        monkeypatch.setattr(module, name, lambda *a, **b: None)
+    monkeypatch.setattr(queries.rankers, "scorer", lambda *a, **b: asked.append(b))
+    queries.QUERIES["recommend_wide_deep"](spark, folder)
+    assert asked == [{"id_bound": None}]
