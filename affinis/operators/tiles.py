@@ -294,6 +294,8 @@ def top_k_tiles(
     # At most MAX_TILES rows.
     counts = {r["near"]: r["count"] for r in asked.groupBy("near").count().collect()}
     slots, n = items.sparkSession.sparkContext.defaultParallelism, sum(counts.values())
+    # Rows of a query id that comes more than once share one list.
+    repeated = asked.agg(F.count_distinct("id")).first()[0] < n
     chunks = max(passes(n, _SIDE_ROWS, k, slots), -(-n // queries_per_task))
     parts, spread = max(1, slots // chunks), _Spread(counts, chunks)
     exact = F.forall("emb", lambda x: x.cast("float").cast("double") == x)
@@ -326,7 +328,7 @@ def top_k_tiles(
         asking = asked.select("*", part).select(place, F.lit(0).alias("kind"), "id", "vector", F.lit(None).cast("int").alias("tile"), "taken", "now", "least")
         together = asking.unionByName(passing).repartitionById(chunks * parts, "place").sortWithinPartitions("place", "kind", "id")
         found = together.mapInArrow(_scores(k, exclude_self, kind, width), FOUND)
-        if best is not None or parts > 1:
+        if best is not None or parts > 1 or repeated:
             hits = found.drop("rank") if best is None else found.drop("rank").unionByName(best.drop("rank"))
             found = top_rows(hits, "query_id", order, k)
         best = settled(found)

@@ -102,3 +102,10 @@ def test_queries_of_a_chunk_lie_near_each_other_and_large_groups_are_spread():
     chunk = spread(near, ids)
     assert set(chunk[:100]) == {0} and set(chunk[-100:]) == {5} and set(chunk) == set(range(6))
     assert np.bincount(chunk).max() < 300
+
+
+def test_rows_of_a_repeated_query_share_one_list(spark):
+    items, queries = clustered(60, 6), clustered(30, 7)
+    twice = spark.createDataFrame(queries + queries[:5], EMB)
+    got = top_k_tiles(twice, spark.createDataFrame(items, EMB), 4, tile_rows=10)
+    assert got.groupBy("query_id").count().where("count > 4").count() == 0 and got.count() == 30 * 4
