@@ -10,7 +10,7 @@ At scale: queries that lie near the same pivots lie in one chunk. A chunk's quer
 each chunk of which some query visits the group: what is shipped does not grow with queries times groups. Chunks
 hold up to 32,768 queries (``scoring.passes``); with fewer chunks than slots, the items of each are split by their id. A task keeps
 the best rows of its queries, one block of scores and the ids of the items that have passed. The driver holds at most ``MAX_TILES``
-pivots and radii and as many counts, however large the catalogue is. Items a query must not get are masked where they are scored, so they widen
+pivots and radii, however large the catalogue is. Items a query must not get are masked where they are scored, so they widen
 nothing; they travel with the query as a list. Rounds are stored, so a lost executor repeats no earlier round.
 
 Defined results, those of ``operators.scoring``: rows without a vector take no part; scores have six decimals, equal ones rank
@@ -133,21 +133,6 @@ def _near(plan: Plan):
     return place
 
 
-class _Spread:
-    """Queries along their nearest groups in chunks of about the same size; a large group is spread over several by a hash of the id."""
-
-    def __init__(self, counts: dict[int, int], chunks: int):
-        self.group = np.array(sorted(counts), np.int64)
-        n = np.array([counts[g] for g in self.group.tolist()], np.float64)
-        self.size, self.first, self.chunks = n, np.cumsum(n) - n, chunks
-        self.total = max(1.0, n.sum())
-
-    def __call__(self, near: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.group, near)
-        share = ((ids.view(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)).astype(np.float64) / 2.0**32
-        return np.minimum((self.first[at] + share * self.size[at]) * self.chunks / self.total, self.chunks - 1).astype(np.int32)
-
-
 def _visits(plan: Plan, first: int, last: int, pack_rows: int):
     """Which queries visit which group in a round, in packs. ``least`` is a query's k-th score so far, null below k; of
     groups already ``visited``, where that is given, none is visited again."""
@@ -291,13 +276,11 @@ def top_k_tiles(
         pairs = exclude.where(F.col("query_id").isNotNull() & F.col("item_id").isNotNull())
         wanted = wanted.join(pairs.groupBy(F.col("query_id").alias("id")).agg(F.collect_set("item_id").alias("taken")), "id", "left")
     asked = settled(wanted.mapInPandas(_near(plan), "near int, id long, vector binary, taken array<long>"))
-    # At most MAX_TILES rows.
-    counts = {r["near"]: r["count"] for r in asked.groupBy("near").count().collect()}
-    slots, n = items.sparkSession.sparkContext.defaultParallelism, sum(counts.values())
+    slots, n = items.sparkSession.sparkContext.defaultParallelism, asked.count()
     # Rows of a query id that comes more than once share one list.
     repeated = asked.agg(F.count_distinct("id")).first()[0] < n
     chunks = max(passes(n, _SIDE_ROWS, k, slots), -(-n // queries_per_task))
-    parts, spread = max(1, slots // chunks), _Spread(counts, chunks)
+    parts = max(1, slots // chunks)
     exact = F.forall("emb", lambda x: x.cast("float").cast("double") == x)
     kind = np.dtype("<f4") if items.agg(F.coalesce(F.min(exact), F.lit(False))).first()[0] else _WIDE
     dealt = settled(items.mapInPandas(_dealt(plan, kind, parts), "tile int, part int, id long, vector binary"))
@@ -305,10 +288,12 @@ def top_k_tiles(
     def begin(batches):
         for pdf in batches:
             nothing = bytes(-(-width // 8))
-            yield pdf.assign(chunk=spread(pdf["near"].to_numpy(np.int64), pdf["id"].to_numpy(np.int64)), visited=[nothing] * len(pdf), now=[nothing] * len(pdf), least=np.nan)[
+            yield pdf.assign(visited=[nothing] * len(pdf), now=[nothing] * len(pdf), least=np.nan)[
                 [c.split()[0] for c in _ASKED.split(", ")]]
 
-    asked = asked.mapInPandas(begin, _ASKED)
+    # Along the nearest groups; a large group is spread over several chunks by a hash of the id.
+    dealt_out = asked.repartitionByRange(chunks, "near", F.xxhash64("id")).withColumn("chunk", F.spark_partition_id())
+    asked = dealt_out.mapInPandas(begin, _ASKED)
     order = [F.col("score").desc_nulls_last(), F.col("item_id")]
     best, left = None, width
     for most in (*_ROUNDS, width):
